@@ -2,21 +2,25 @@
 
 The vocabulary used here drops white space before it merges, so a text's ids are the ids of its
 white-space separated words in a row.  Words repeat far more often than texts do, so each Python
-worker keeps a bounded map from word to ids and asks the tokenizers library for new words only,
-many at a time.  Words that could hold a special token, and very long ones, go to the library as
-they are.
+worker keeps a bounded map from word to ids and asks the tokenizers library for new words only.
+Texts that could hold a special token go to the library as they are.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words kept per worker (a word and its ids take about 250 bytes), and the longest that is kept.
-CACHE_WORDS = 500_000
+#: Words of a generation, of which a worker keeps two (a word and its ids take about 200 bytes), and the longest that is kept.
+CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 48
 
+if sys.byteorder != "little":
+    raise ImportError("ids are kept as this machine's 16-bit integers, which must be little-endian")
+
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -34,134 +38,72 @@ def encoder(path: str) -> "WordEncoder":
 
 
 class _Cache(dict):
-    def __init__(self):
+    """Word, as bytes, to ids, as bytes; learns a word that it lacks."""
+
+    def __init__(self, owner: "WordEncoder", charset: str):
         super().__init__()
-        self.missed: list[bytes] = []
+        self.owner, self.charset, self.before = owner, charset, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        self.missed.append(word)
-        return b""
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.owner.learn(word.decode(self.charset), self)
+        if len(word) <= CACHE_WORD_BYTES:
+            if len(self) >= CACHE_WORDS:  # words in use come back from the generation before
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """encode(texts) gives each text's ids as little-endian 16-bit bytes.
 
     A new word of Latin letters with at most one stop behind it needs no normalising but lower case
-    and no further splitting, so it goes to a tokenizer of the same file that has the merges alone;
-    any other new word goes through the whole of the file's steps.
+    and no further splitting, so it goes to the merges of the file's model alone; any other new
+    word goes through the whole of the file's steps.
     """
 
     def __init__(self, path: str):
         import re
 
-        import numpy as np
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
-        if not special:
-            raise ValueError("the vocabulary needs a special token, used to part words")
-        self.mark, self.mark_id = special[-1]
-        self.openers = {content[:2] for content, _ in special}
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
-        self.ends_word[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z").match
+        self.openers = {t.content[:2] for t in self.library.get_added_tokens_decoder().values() if t.special}
+        self.model = self.library.model
+        self.simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z").match
         self.stops = {c: self._plain(c) for c in ".,;:!?"} | {"": b""}
-        self.cache = _Cache()
+        byte_char = self.library.pre_tokenizer.pre_tokenize_str  # a byte's character in the model's alphabet
+        self.alphabet = {c: "".join(x for x, _ in byte_char(chr(c))) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+        self.latin, self.other = _Cache(self, "latin-1"), _Cache(self, "utf-8")
 
     def _plain(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _split(self, words: list[str], ids, ends) -> dict[str, bytes]:
-        raw, out, start = ids.tobytes(), {}, 0
-        for w, end in zip(words, ends, strict=True):
-            out[w] = raw[2 * start : 2 * end]
-            start = end
-        return out
-
-    def _simple(self, cores: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        ids = np.asarray(self.merges.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u2")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        return self._split(cores, ids, ends) if len(ends) == len(cores) else {w: self._plain(w) for w in cores}
-
-    def _other(self, words: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        ids = np.asarray(self.library.encode(self.mark.join(words), add_special_tokens=False).ids, dtype="<u2")
-        between = ids == self.mark_id
-        ends = [int(x) - k for k, x in enumerate([*np.flatnonzero(between), len(ids)])]
-        return self._split(words, ids[~between], ends)
-
-    def _learn(self) -> dict[bytes, bytes]:
-        """Ids of the missed words; those short enough go to the cache, long ones are handed back."""
-        words = list(dict.fromkeys(self.cache.missed))
-        self.cache.missed = []
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        rare: dict[bytes, bytes] = {}
-        for at in range(0, len(words), 20_000):
-            parted, others = [], []
-            for w in words[at : at + 20_000]:
-                if len(w) > CACHE_WORD_BYTES:
-                    rare[w] = self._plain(w.decode())
-                elif m := self.simple(t := w.decode()):
-                    parted.append((w, m[1].lower(), m[2]))
-                else:
-                    others.append((w, t))
-            if parted:
-                ids = self._simple(list(dict.fromkeys([core for _, core, _ in parted])))
-                self.cache.update([(w, ids[core] + self.stops[stop]) for w, core, stop in parted])
-            if others:
-                ids = self._other([t for _, t in others])
-                self.cache.update([(w, ids[t]) for w, t in others])
-        return rare
+    def learn(self, word: str, cache: _Cache) -> bytes:
+        if not (m := self.simple(word)):
+            return self._plain(word)
+        core, stop = m.groups()
+        if stop:
+            return cache[core.encode(cache.charset)] + self.stops[stop]
+        return array("H", [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.alphabet))]).tobytes()
 
     def encode(self, texts) -> list[bytes]:
         """Null texts count as empty."""
         out: list[bytes] = []
-        again: list[tuple[int, list[bytes]]] = []
-        look = self.cache.__getitem__
+        latin, other = self.latin.__getitem__, self.other.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
-                continue
-            if any([o in text for o in self.openers]):
+            elif any([o in text for o in self.openers]):
                 out.append(self._plain(text))
-                continue
-            words = (text.lower() if text.isascii() else text).encode().split()
-            before = len(self.cache.missed)
-            out.append(b"".join(map(look, words)))
-            if len(self.cache.missed) > before:
-                again.append((len(out) - 1, words))
-                if len(self.cache.missed) > 50_000:
-                    self._repeat(out, again)
-        self._repeat(out, again)
+            else:
+                # bytes: split knows ASCII white space only, which the vocabulary's steps drop, too
+                try:
+                    out.append(b"".join(map(latin, text.lower().encode("latin-1").split())))
+                except UnicodeEncodeError:
+                    out.append(b"".join(map(other, text.encode().split())))
         return out
-
-    def _repeat(self, out: list[bytes], again: list[tuple[int, list[bytes]]]) -> None:
-        """Encodes again the texts that had new words."""
-        look = self.cache.__getitem__
-        for _ in range(2):  # a cache that was emptied lacks words that were there before: then once more
-            rare, left = self._learn(), []
-            for i, words in again:
-                before = len(self.cache.missed)
-                out[i] = b"".join([rare[w] if w in rare else look(w) for w in words] if rare else map(look, words))
-                if len(self.cache.missed) > before:
-                    left.append((i, words))
-            if not left:
-                break
-            again[:] = left
-        else:
-            for i, words in again:
-                out[i] = self._plain(b" ".join(words).decode())
-            self.cache.missed = []
-        again.clear()
