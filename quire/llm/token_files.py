@@ -26,7 +26,7 @@ from quire.llm._tokens import encoder, vocabulary_path
 MAGIC = b"QWM1"
 BLOCK_BITS = 1 << 16
 #: Ids after which a shard is closed; it bounds a task's memory.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 
 
 def build_shard(ids, doc_ids, lengths, n_levels: int = 16) -> bytes:
