@@ -15,7 +15,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a generation, of which a worker keeps two (a word and its ids take about 200 bytes), and the longest that is kept.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_WORD_BYTES = 48
 
 if sys.byteorder != "little":
@@ -47,6 +47,8 @@ class _Cache(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
         if ids is None:
+            if (stop := self.owner.stops.get(word[-1])) and word[-2:-1].isalnum() and (core := self.get(word[:-1])) is not None:
+                return core + stop  # a known word and a stop: not kept, the word is
             ids = self.owner.learn(word.decode(self.charset), self)
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:  # words in use come back from the generation before
@@ -75,7 +77,7 @@ class WordEncoder:
         self.openers = {t.content[:2] for t in self.library.get_added_tokens_decoder().values() if t.special}
         self.model = self.library.model
         self.simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z").match
-        self.stops = {c: self._plain(c) for c in ".,;:!?"} | {"": b""}
+        self.stops = {ord(c): self._plain(c) for c in ".,;:!?"}
         byte_char = self.library.pre_tokenizer.pre_tokenize_str  # a byte's character in the model's alphabet
         self.alphabet = {c: "".join(x for x, _ in byte_char(chr(c))) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.latin, self.other = _Cache(self, "latin-1"), _Cache(self, "utf-8")
@@ -88,7 +90,7 @@ class WordEncoder:
             return self._plain(word)
         core, stop = m.groups()
         if stop:
-            return cache[core.encode(cache.charset)] + self.stops[stop]
+            return cache[core.encode(cache.charset)] + self.stops[ord(stop)]
         return array("H", [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.alphabet))]).tobytes()
 
     def encode(self, texts) -> list[bytes]:

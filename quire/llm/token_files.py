@@ -210,14 +210,20 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     return _base.cut(dealt.mapInPandas(write, _MANIFEST))
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of each document, from the files."""
+def read_shards(manifest: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of each document, from the files.
+
+    digest: ids_crc32 instead of ids.
+    """
+    last = "ids_crc32 long" if digest else "ids binary"
     spark = manifest.sparkSession
     files = manifest.count()
     order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("start"))
 
     def read(batches) -> Iterator:
+        import zlib
+
         import numpy as np
         import pandas as pd
 
@@ -229,19 +235,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 for a in range(0, len(ends), 2_000):
                     some = slice(a, a + 2_000)
                     begins = ends[some] - shard.lengths[some]
-                    yield pd.DataFrame({
-                        "doc_id": pd.array(shard.doc_ids[some], dtype="Int64"), "start": begins + int(start), "n_tokens": shard.lengths[some],
-                        "ids": [ids[x:y].tobytes() for x, y in zip(begins, ends[some], strict=True)],
-                    })
+                    each = [ids[x:y] for x, y in zip(begins.tolist(), ends[some].tolist(), strict=True)]
+                    rows = pd.DataFrame({"doc_id": pd.array(shard.doc_ids[some], dtype="Int64"), "start": begins + int(start), "n_tokens": shard.lengths[some]})
+                    rows[last.split()[0]] = [zlib.crc32(x) for x in each] if digest else [x.tobytes() for x in each]
+                    yield rows
 
     if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    return placed.repartition(files).mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {last}")
+    return placed.repartition(files).mapInPandas(read, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def token_digests(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, from files that are written and read back."""
-    return read_shards(write_shards(docs, folder, vocabulary, end_id)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_shards(write_shards(docs, folder, vocabulary, end_id), digest=True)
 
 
 def op9_wavelet_token_files(spark, sf_dir: str) -> DataFrame:
