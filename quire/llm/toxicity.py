@@ -23,9 +23,11 @@ from quire.llm import _base
 
 BITS = 18
 SIZES = (3, 4, 5)
-LEARN_TOXIC, LEARN_CLEAN = 1500, 4500
+LEARN_TOXIC, LEARN_CLEAN = 1200, 2800
 PENALTY, ROUNDS = 1e-4, 100
 CHARS = 1 << 20
+#: Features of rows that a pass works on at a time.
+BLOCK = 1 << 20
 
 
 def features(text: str | None):
@@ -62,21 +64,33 @@ class Classifier:
             p = (y.sum() + 0.5) / (len(y) + 2)
             return cls(weights, float(np.log(p / (1 - p))))
         sizes = np.array([len(f) for f, _ in rows])
-        at = np.concatenate([np.asarray(f, dtype=np.int32) for f, _ in rows])
-        row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-        toxic = np.bincount(at, weights=y[row], minlength=1 << BITS) + 1
-        clean = np.bincount(at, weights=1 - y[row], minlength=1 << BITS) + 1
-        ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-        x = (ratio[at] / np.sqrt(np.maximum(sizes, 1))[row]).astype(np.float32)
+        blocks, first = [], 0  # (features, row of each, rows): whole rows, some BLOCK features
+        for last in range(1, len(rows) + 1):
+            if last == len(rows) or sizes[first : last + 1].sum() > BLOCK:
+                at = np.concatenate([np.asarray(f, dtype=np.int32) for f, _ in rows[first:last]])
+                blocks.append((at, np.repeat(np.arange(last - first, dtype=np.int32), sizes[first:last]), slice(first, last)))
+                first = last
+        count = np.ones((2, 1 << BITS))
+        for at, row, some in blocks:
+            label = y[some][row] > 0
+            count[0] += np.bincount(at[label], minlength=1 << BITS)
+            count[1] += np.bincount(at[~label], minlength=1 << BITS)
+        ratio = np.log(count[0] / count[0].sum()) - np.log(count[1] / count[1].sum())
+        unit = 1 / np.sqrt(np.maximum(sizes, 1))
         share = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both kinds weigh the same
         bias = m_bias = v_bias = 0.0
         m, v = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, rounds + 1):  # Adam on all rows
-            z = np.bincount(row, weights=x * weights[at], minlength=len(y)) + bias
-            miss = (1 / (1 + np.exp(-z)) - y) * share
-            grad = np.bincount(at, weights=x * miss[row], minlength=1 << BITS) / len(y) + penalty * weights
+            scaled, grad, total = weights * ratio, np.zeros_like(weights), 0.0
+            for at, row, some in blocks:
+                z = np.bincount(row, weights=scaled[at], minlength=some.stop - some.start) * unit[some] + bias
+                miss = (1 / (1 + np.exp(-z)) - y[some]) * share[some]
+                grad += np.bincount(at, weights=(miss * unit[some])[row], minlength=1 << BITS)
+                total += miss.sum()
+            grad = grad * ratio / len(y) + penalty * weights
+            total /= len(y)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            m_bias, v_bias = 0.9 * m_bias + 0.1 * miss.mean(), 0.99 * v_bias + 0.01 * miss.mean() ** 2
+            m_bias, v_bias = 0.9 * m_bias + 0.1 * total, 0.99 * v_bias + 0.01 * total**2
             a, b = 1 - 0.9**step, 1 - 0.99**step
             weights = weights - 0.05 * (m / a) / (np.sqrt(v / b) + 1e-8)
             bias -= 0.05 * (m_bias / a) / (np.sqrt(v_bias / b) + 1e-8)
@@ -107,9 +121,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_toxic: int = LEARN_TOXIC, le
         return text.map(lambda t: features(t).astype("<i4").tobytes())
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.select("doc_id", "toxic", found("text").alias("f")).limit(learn_toxic + learn_clean).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["f"]))  # the fit doesn't depend on how rows arrive
-    return Classifier.fit([(np.frombuffer(r["f"], "<i4"), int(r["toxic"] > 0)) for r in rows])
+    rows = rows.select("doc_id", (F.col("toxic") > 0).alias("toxic"), found("text").alias("f")).limit(learn_toxic + learn_clean)
+
+    def fit(batches):
+        drawn = [x for batch in batches for x in zip(batch["doc_id"], batch["f"], batch["toxic"], strict=True)]
+        drawn.sort(key=lambda r: r[:2])  # the fit doesn't depend on how rows arrive
+        model = Classifier.fit([(np.frombuffer(f, "<i4"), int(toxic)) for _, f, toxic in drawn])
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    # one task has all of the bounded sample; an executor has more room than the driver
+    weights, bias = rows.repartition(1).mapInPandas(fit, "weights binary, bias double").first() or (bytes(8 << BITS), Classifier.fit([]).bias)
+    return Classifier(np.frombuffer(weights, "<f8"), bias)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
