@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from quire.llm.decontaminate import op8_benchmark_decontamination
+from quire.llm.line_dedup import OP3_SQL, op3_line_dedup
 from quire.llm.packing import op6_best_fit_packing
 from quire.llm.simhash import op2_simhash_near_duplicates
 from quire.llm.token_files import op9_wavelet_token_files
 from quire.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_duplicates, op6_best_fit_packing, op9_wavelet_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_simhash_near_duplicates,
+        op3_line_dedup,
+        op6_best_fit_packing,
+        op8_benchmark_decontamination,
+        op9_wavelet_token_files,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}

@@ -1,0 +1,41 @@
+import duckdb
+
+from quire.llm import line_dedup
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_equals_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(db.execute(line_dedup.OP3_SQL).fetchall())
+    got = sorted(map(tuple, line_dedup.op3_line_dedup(spark, SF).collect()))
+    assert got == want
+    assert sum(r[1] for r in got) > 0
+
+
+def test_hostile_rows(spark):
+    shared = "the same footer is on all of the sites"
+    two = "this line is on no more than two sites, often"
+    docs = [(i, f"own text number {i} of this test\n  {shared}  \nshort\n{two if i % 5 < 2 else ''}", f"s{i % 5}") for i in range(40)]
+    docs += [(100, None, "s1"), (101, "", "s1"), (102, shared, None), (103, f"{shared}\n{shared}", "s0"), (103, f"{shared}\n{shared}", "s0"), (None, f"x\n{shared}", "s2"), (104, "long " * 50_000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as key", "2 as sites", "3 as lines_removed", "4 as line")
+    out = line_dedup.remove_boilerplate(df)
+    assert out.columns == ["doc_id", "text", "source", "key", "sites", "line", "lines_removed"]
+    rows = out.collect()
+    assert len(rows) == len(docs)
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"]))
+    assert by[0] == [(f"own text number 0 of this test\nshort\n{two}", 1)]
+    assert by[100] == [(None, 0)] and by[101] == [("", 0)] and by[102] == [("", 1)]
+    assert by[103] == [("", 2)] * 2 and by[None] == [("x", 1)] and by[104] == [("long " * 50_000, 0)]
+    assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_exact_counts_near_the_threshold(spark):
+    """Sketches of many sites are off by a few; lines just below and at the threshold still part exactly."""
+    docs = [(k, "this line is on four thousand sites", f"s{k}") for k in range(4000)] + [(k, "this line is on one site less", f"s{k}") for k in range(3999)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = line_dedup.boilerplate(df, min_sites=4000).collect()
+    assert [r["sites"] for r in found] == [4000]
