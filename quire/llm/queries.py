@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm.decontaminate import op8_benchmark_decontamination
+from quire.llm.embedding_dedup import op10_embedding_near_duplicates
 from quire.llm.line_dedup import OP3_SQL, op3_line_dedup
 from quire.llm.packing import op6_best_fit_packing
 from quire.llm.simhash import op2_simhash_near_duplicates
@@ -18,6 +19,7 @@ QUERIES = {
         op6_best_fit_packing,
         op8_benchmark_decontamination,
         op9_wavelet_token_files,
+        op10_embedding_near_duplicates,
     )
 }
 
