@@ -9,6 +9,7 @@ from quire.llm.packing import op6_best_fit_packing
 from quire.llm.simhash import op2_simhash_near_duplicates
 from quire.llm.token_files import op9_wavelet_token_files
 from quire.llm.toxicity import op1_toxicity
+from quire.llm.url_filter import OP7_SQL, op7_url_filters
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +18,11 @@ QUERIES = {
         op2_simhash_near_duplicates,
         op3_line_dedup,
         op6_best_fit_packing,
+        op7_url_filters,
         op8_benchmark_decontamination,
         op9_wavelet_token_files,
         op10_embedding_near_duplicates,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_url_filters": OP7_SQL}
