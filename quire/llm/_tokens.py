@@ -15,7 +15,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a generation, of which a worker keeps two (a word and its ids take about 200 bytes), and the longest that is kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 48
 
 if sys.byteorder != "little":
@@ -61,7 +61,7 @@ class _Cache(dict):
 class WordEncoder:
     """encode(texts) gives each text's ids as little-endian 16-bit bytes.
 
-    A new word of Latin letters with at most one stop behind it needs no normalising but lower case
+    A new word of Latin letters, with ASCII punctuation behind it or not, needs no normalising but lower case
     and no further splitting, so it goes to the merges of the file's model alone; any other new
     word goes through the whole of the file's steps.
     """
@@ -76,8 +76,9 @@ class WordEncoder:
             raise ValueError("ids must fit in 16 bits")
         self.openers = {t.content[:2] for t in self.library.get_added_tokens_decoder().values() if t.special}
         self.model = self.library.model
-        self.simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z").match
+        self.simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z").match
         self.stops = {ord(c): self._plain(c) for c in ".,;:!?"}
+        self.runs: dict[str, bytes] = {}  # of ASCII punctuation behind a word, which the vocabulary's steps take as one piece
         byte_char = self.library.pre_tokenizer.pre_tokenize_str  # a byte's character in the model's alphabet
         self.alphabet = {c: "".join(x for x, _ in byte_char(chr(c))) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.latin, self.other = _Cache(self, "latin-1"), _Cache(self, "utf-8")
@@ -88,9 +89,13 @@ class WordEncoder:
     def learn(self, word: str, cache: _Cache) -> bytes:
         if not (m := self.simple(word)):
             return self._plain(word)
-        core, stop = m.groups()
-        if stop:
-            return cache[core.encode(cache.charset)] + self.stops[ord(stop)]
+        core, run = m.groups()
+        if run:
+            if run not in self.runs:
+                if len(self.runs) >= 10_000:
+                    self.runs.clear()
+                self.runs[run] = self._plain(run)
+            return cache[core.encode(cache.charset)] + self.runs[run]
         return array("H", [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.alphabet))]).tobytes()
 
     def encode(self, texts) -> list[bytes]:
