@@ -10,6 +10,7 @@ from quire.llm.simhash import op2_simhash_near_duplicates
 from quire.llm.token_files import op9_wavelet_token_files
 from quire.llm.toxicity import op1_toxicity
 from quire.llm.url_filter import OP7_SQL, op7_url_filters
+from quire.llm.warc import op5_warc_derivatives
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +18,7 @@ QUERIES = {
         op1_toxicity,
         op2_simhash_near_duplicates,
         op3_line_dedup,
+        op5_warc_derivatives,
         op6_best_fit_packing,
         op7_url_filters,
         op8_benchmark_decontamination,

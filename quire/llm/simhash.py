@@ -18,8 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quire.llm import _base
 from quire.llm._graph import components
@@ -33,7 +36,6 @@ FAN = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
-    import numpy as np
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: lower and split know ASCII only
@@ -47,21 +49,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-
-    def run(batches) -> Iterator:
-        import numpy as np
-        import pandas as pd
+@F.pandas_udf(LongType())
+def _prints(text: pd.Series) -> pd.Series:
+    return pd.Series(np.array([fingerprint(t) for t in text], dtype="<u8").view("<i8"), index=text.index)
 
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], dtype="<u8").view("<i8")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found})
 
-    # doc_id goes to Python as text: pandas would turn a long with nulls into a double
-    kind = docs.schema["doc_id"].dataType
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp long")
-    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "fp")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long)."""
+    return docs.select("doc_id", _prints("text").alias("fp"))
 
 
 def gray_rank(fp):
@@ -84,8 +79,6 @@ class GrayIndex:
 
     def __init__(self, fps, first, last, differences: int = DIFFERENCES, lone: bool = False):
         """fps: unsigned 64-bit.  Row i looks among rows first[i] to last[i] - 1."""
-        import numpy as np
-
         self.fps, self.first, self.last, self.most = fps, first, last, differences
         self.values, self.masks = [fps], [np.full(len(fps), 2**64 - 1, dtype=np.uint64)]
         while len(self.values[-1]) > 1:
@@ -98,8 +91,6 @@ class GrayIndex:
 
     def _joint(self) -> list:
         """By level and node: the component of all leaves below, or -1."""
-        import numpy as np
-
         joint = [self.root]
         while len(joint) < len(self.values):
             below = joint[-1]
@@ -110,8 +101,6 @@ class GrayIndex:
 
     def search(self, rows):
         """Pairs (row, other) within the differences, other in the row's range, but for those joined already."""
-        import numpy as np
-
         joint = self._joint()
         rows = rows[self.first[rows] < self.last[rows]]
         low, high = self.first[rows], self.last[rows] - 1
@@ -143,8 +132,6 @@ class GrayIndex:
 
     def join(self, a, b) -> None:
         """Takes links into self.root: each component's smallest row."""
-        import numpy as np
-
         while len(a):
             ra, rb = self.root[a], self.root[b]
             apart = ra != rb
@@ -158,8 +145,6 @@ class GrayIndex:
 
     def run(self):
         """Joins all; (row, root) of the rows that are not their own root."""
-        import numpy as np
-
         width = self.last - self.first
         for at in range(0, len(small := np.flatnonzero((width > 0) & (width < 4 * FAN))), 65_536):
             self.join(*self.search(small[at : at + 65_536]))
@@ -185,9 +170,6 @@ def links(fps: DataFrame, differences: int = DIFFERENCES, part_rows: int = PART_
     bucket = ["k", "key", "i", "j"]
 
     def run(batches) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
         def work(k, key, i, j, part, fp):
             new = np.ones(len(k), dtype=bool)
             new[1:] = (k[1:] != k[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -236,5 +218,19 @@ def near_duplicates(docs: DataFrame, differences: int = DIFFERENCES) -> DataFram
     return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, differences: int = DIFFERENCES) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's, of rows that repeat it one with the least text hash.
+
+    Rows with null doc_ids come after all others.
+    """
+    same = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", same.alias("same"))
+    kept = near_duplicates(docs.select(key.alias("doc_id"), "text"), differences).where("doc_id = component_id")
+    kept = kept.select("doc_id.doc_id", F.col("doc_id.same").alias("_same")).distinct().alias("k")
+    named = docs.withColumn("_same", same).alias("d")
+    joined = named.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._same") == F.col("k._same")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
+
+
 def op2_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(_base.table(spark, sf_dir, "documents"))

@@ -78,6 +78,11 @@ def test_hostile_rows(spark):
     assert sorted((r[0] or 0, r[2]) for r in rows) == [(0, 9), (3, 3), (4, 3), (4, 3), (5, 3), (7, 7), (9, 9)]
     assert {r[1] for r in rows if r[0] in (3, 4, 5)} == {"0" * 16}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    more = df.union(spark.createDataFrame([(None, "other words than those above, so alone", 1, 2), (None, "other words than those above, so alone", 1, 2), (9, "yet other words under a number that is there", 1, 2)], df.schema))
+    kept = simhash.keep_one(more)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept.collect()) == [(0, "oth"), (3, ""), (7, "w w"), (9, "one"), (9, "yet")]
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 def test_query(spark):
