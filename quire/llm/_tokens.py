@@ -74,6 +74,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
+        #: The last special token, which ends texts where a caller names no other.
+        self.end_id = max([i for i, t in self.library.get_added_tokens_decoder().items() if t.special], default=0)
         self.openers = {t.content[:2] for t in self.library.get_added_tokens_decoder().values() if t.special}
         self.model = self.library.model
         self.simple = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z").match
