@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm.decontaminate import op8_benchmark_decontamination
 from quire.llm.embedding_dedup import op10_embedding_near_duplicates
 from quire.llm.line_dedup import OP3_SQL, op3_line_dedup
+from quire.llm.lm_score import op4_lm_scoring
 from quire.llm.packing import op6_best_fit_packing
 from quire.llm.simhash import op2_simhash_near_duplicates
 from quire.llm.token_files import op9_wavelet_token_files
@@ -18,6 +19,7 @@ QUERIES = {
         op1_toxicity,
         op2_simhash_near_duplicates,
         op3_line_dedup,
+        op4_lm_scoring,
         op5_warc_derivatives,
         op6_best_fit_packing,
         op7_url_filters,
