@@ -49,18 +49,16 @@ def collapse_loops(text: Column) -> Column:
     """Leaves one of three or more repeats of a part of 15 characters or more, within a line.
 
     The pattern takes time that grows with the square of a line; a line can only match if the start of some part occurs
-    three times, so other lines skip it.  Lines part at \\n alone, which the pattern doesn't cross.
+    three times, so lines with fewer than two repeated starts skip it.  Lines part at \\n alone, which the pattern doesn't cross.
     """
-    lines = F.split(text, "\n", -1)
 
     def mend(line: Column) -> Column:
-        starts = F.transform(F.sequence(F.lit(1), F.length(line) - LOOP_UNIT + 1), lambda i: line.substr(i, F.lit(LOOP_UNIT)))
-        ordered = F.array_sort(starts)
-        thrice = F.exists(F.sequence(F.lit(1), F.size(ordered) - 2), lambda i: F.get(ordered, i - 1) == F.get(ordered, i + 1))
-        return F.when((F.length(line) >= 3 * LOOP_UNIT) & thrice, sub(line, *LOOP)).otherwise(line)
+        # a lambda's variable is computed once, an expression inside a lambda each time
+        hashes = F.transform(F.array(F.split(line, "")), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - LOOP_UNIT + 1), lambda i: F.xxhash64(F.slice(c, i, LOOP_UNIT))))
+        repeated = F.exists(hashes, lambda h: F.size(h) - F.size(F.array_distinct(h)) >= 2)
+        return F.when((F.length(line) >= 3 * LOOP_UNIT) & repeated, sub(line, *LOOP)).otherwise(line)
 
-    long = F.exists(lines, lambda line: F.length(line) >= 3 * LOOP_UNIT)
-    return F.when(long, F.array_join(F.transform(lines, lambda line: F.when(F.length(line) >= 3 * LOOP_UNIT, mend(line)).otherwise(line)), "\n")).otherwise(text)
+    return F.when(F.length(text) >= 3 * LOOP_UNIT, F.array_join(F.transform(F.split(text, "\n", -1), mend), "\n")).otherwise(text)
 
 
 def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: bool = True, hyphens: bool = True, blank_lines: bool = True) -> Column:
