@@ -56,6 +56,8 @@ class _Writer(HTMLParser):
         inside = {t for t, _, _ in self.open}
         if inside & {"table", "ul", "ol", "tr"} and not data.strip() and not inside & {"td", "th", "li", "caption"}:
             return
+        if not data.strip() and "pre" not in inside and (not self.out or self.out[-1].endswith("\n")):
+            return  # between blocks
         self.out.append(data if "pre" in inside else re.sub(r"\s+", " ", data))
 
     def handle_endtag(self, tag):

@@ -26,7 +26,7 @@ ARTEFACTS = """concat(text, chr(10), chr(10), case when doc_id % 3 = 0 then cast
 TAGS = """concat('<table border=0 style=''a:b'' id=q><td style=''x''>', cast(doc_id as varchar(20)), '</td><th class=u style=''''>h</th></table><div style=''t''>', chr(10),
  '<img alt="a" src="imgs/f', cast(doc_id % 7 as varchar(9)), '.png" />', chr(10), '</div>', case when doc_id % 2 = 0 then '<div><img src="imgs/g.png"> caption</div>' else '' end,
  '![al](figures/p/imgs/h', cast(doc_id % 5 as varchar(9)), '.png)', chr(10), '![logo](https://e.org/l.png)', chr(10), text)"""
-FORMULAS = """concat(replace(text, '$', ' '), case when doc_id % 2 = 0 then ' $  x^a^b^c + y_{i}_j $ q^a^b $z^{a}^{b}$' else ' $$ x_a_b^c $$ q_a_b $$k^\\pi^2$$' end)"""
+FORMULAS = """concat(replace(text, '$', ' '), case when doc_id % 2 = 0 then ' $  x^a^b^c + y_{i}_j $ q^a^b $z^{a}^{b}$' else ' $$ x_a_b^c $$ q_a_b $$k^' end, case when doc_id % 2 = 1 then concat(chr(92), 'pi^2$$') else '' end)"""
 NUMBERS = """concat(case when doc_id % 4 = 0 then concat(cast(doc_id % 990 + 1 as varchar(9)), chr(10), cast(doc_id % 990 + case when doc_id % 8 = 0 then 2 else 5 end as varchar(9)), chr(10)) else '' end, text,
  case when doc_id % 6 = 0 then concat(chr(10), ' 07 ', chr(10), 'foot') else '' end)"""
 HEADINGS = """concat('Chapter ', cast(doc_id % 30 as varchar(9)), chr(10), '  Section ', cast(doc_id % 9 as varchar(9)), ' ', chr(10), 'Chapter 1,', chr(10), '# Chapter 2', chr(10), '<!-- Chapter 3 -->', chr(10), text, chr(10))"""
@@ -360,7 +360,7 @@ def natural_order(spark, sf_dir):
     return order.with_position(_files(spark, sf_dir), order.natural_key(F.col("name")), F.col("name"))
 
 
-@query(f"{_ORDERED} select doc_id, 'scan_' || lpad((6 + row_number() over (order by key, name))::varchar, greatest(3, length((6 + count(*) over ())::varchar)), '0') || lower(regexp_extract(name, '\\.[^.]*$')) as new_name from k")
+@query(f"{_ORDERED} select doc_id, 'scan_' || lpad((6 + row_number() over (order by key, name))::varchar, greatest(3, length((6 + count(*) over ())::varchar))::int, '0') || lower(regexp_extract(name, '\\.[^.]*$')) as new_name from k")
 def page_renumber(spark, sf_dir):
     return order.numbered(_files(spark, sf_dir), order.natural_key(F.col("name")), F.col("name"), prefix="scan", start=7).select("doc_id", "new_name")
 
@@ -513,7 +513,7 @@ def table_recovery(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", markup.recovered_table(message).alias("text"))
 
 
-@query("select doc_id, 'book_p' || lpad(doc_id::varchar, greatest(3, length(doc_id::varchar)), '0') as page_id, format('{:,}', n_chars) as shown from documents")
+@query("select doc_id, 'book_p' || lpad(doc_id::varchar, greatest(3, length(doc_id::varchar))::int, '0') as page_id, format('{:,}', n_chars) as shown from documents")
 def pdf_page_ids(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", pages.pdf_page_id(F.lit("book"), F.col("doc_id")).alias("page_id"), thousands(F.col("n_chars")).alias("shown"))
 
