@@ -6,7 +6,8 @@ well above or below the threshold are settled; those within the sketch's error o
 of distinct sites.  Lines at or above the threshold are boilerplate and go from every text.
 
 Lines are split at line feeds and compared without white space at their ends; lines shorter than `min_chars` stay,
-as do all lines of null texts.  Null sites count as one site.  A text that loses all its lines becomes empty; its row stays.
+as do all lines of null texts.  Null sites count as one site.  A text of which more than MOST_GONE would go is a copy of
+texts on other sites rather than a text with boilerplate in it: it stays whole.  All rows stay.
 Repeated rows stay, and their sites count once.  An empty table gives no rows.
 """
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import _base
 
-MIN_SITES = 3
+MIN_SITES = 10
 MIN_CHARS = 20
+#: Share of a text's characters that may go; a text of which more would is a copy of others, which near-dedup deals with.
+MOST_GONE = 0.5
 #: The sketch's log2 of buckets, and the relative error that counts as near: three standard errors.
 LG_K = 10
 NEAR = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -56,9 +59,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: i
     joined = named.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._same") == F.col("g._same")), "left")
     lines = F.split("d.text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(kept)
+    whole = F.col("_gone").isNull() | (F.length(kept) < (1 - MOST_GONE) * F.length("d.text"))
+    text = F.when(whole, F.col("d.text")).otherwise(kept)
     columns = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c != "lines_removed"]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))
+    return joined.select(*columns, F.when(whole, 0).otherwise(F.size("_gone")).alias("lines_removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -72,12 +76,15 @@ with lines as (
   from documents where text is not null),
 shared as (
   select trim(line, ' ') as line from lines where length(trim(line, ' ')) >= 20
-  group by trim(line, ' ') having count(distinct site) >= 3),
+  group by trim(line, ' ') having count(distinct site) >= 10),
 judged as (
   select l.*, s.line is not null as gone from lines l left join shared s on s.line = trim(l.line, ' ')),
 kept as (
   select doc_id, count(*) filter (where gone) as lines_removed, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
-  from judged group by doc_id)
-select d.doc_id, coalesce(k.lines_removed, 0)::int as lines_removed, length(coalesce(k.text, d.text))::bigint as n_chars, md5(coalesce(k.text, d.text)) as text_md5
-from documents d left join kept k using (doc_id)
+  from judged group by doc_id),
+settled as (
+  select d.doc_id, d.text as whole, k.lines_removed, k.text, k.lines_removed > 0 and length(k.text) >= 0.5 * length(d.text) as changed
+  from documents d left join kept k using (doc_id))
+select doc_id, case when changed then lines_removed else 0 end::int as lines_removed, length(case when changed then text else whole end)::bigint as n_chars, md5(case when changed then text else whole end) as text_md5
+from settled
 """

@@ -20,7 +20,7 @@ def test_hostile_rows(spark):
     docs = [(i, f"own text number {i} of this test\n  {shared}  \nshort\n{two if i % 5 < 2 else ''}", f"s{i % 5}") for i in range(40)]
     docs += [(100, None, "s1"), (101, "", "s1"), (102, shared, None), (103, f"{shared}\n{shared}", "s0"), (103, f"{shared}\n{shared}", "s0"), (None, f"x\n{shared}", "s2"), (104, "long " * 50_000, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as key", "2 as sites", "3 as lines_removed", "4 as line")
-    out = line_dedup.remove_boilerplate(df)
+    out = line_dedup.remove_boilerplate(df, min_sites=3)
     assert out.columns == ["doc_id", "text", "source", "key", "sites", "line", "lines_removed"]
     rows = out.collect()
     assert len(rows) == len(docs)
@@ -28,8 +28,8 @@ def test_hostile_rows(spark):
     for r in rows:
         by.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"]))
     assert by[0] == [(f"own text number 0 of this test\nshort\n{two}", 1)]
-    assert by[100] == [(None, 0)] and by[101] == [("", 0)] and by[102] == [("", 1)]
-    assert by[103] == [("", 2)] * 2 and by[None] == [("x", 1)] and by[104] == [("long " * 50_000, 0)]
+    assert by[100] == [(None, 0)] and by[101] == [("", 0)] and by[102] == [(shared, 0)]
+    assert by[103] == [(f"{shared}\n{shared}", 0)] * 2 and by[None] == [(f"x\n{shared}", 0)] and by[104] == [("long " * 50_000, 0)]
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
