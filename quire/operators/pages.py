@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def skipped(all_pages: DataFrame, parts: DataFrame, keys: tuple[str, ...] = ("do
     return all_pages.join(parts.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def figures_from_book(config: Config) -> str:
+    """The figures' folder, seen from the book's."""
+    return os.path.relpath(config.figures_dir, os.path.dirname(config.output_file) or ".").replace(os.sep, "/")
+
+
 def _clean(text: Column, config: Config, no_layout: Column | bool = False) -> Column:
     return clean.clean_page(text, no_layout, config.remove_isolated_page_numbers, config.rejoin_hyphenated_words, config.collapse_blank_lines)
 
@@ -45,7 +52,7 @@ def page_parts(raw: DataFrame, config: Config) -> DataFrame:
     if config.mode == "obsidian":
         step = step.withColumn("_t", markup.wikilinks_html(text, config.vault_figures_dir))
     else:
-        step = step.withColumn("_t", markup.fix_image_paths(text, F.col("page_id"), config.figures_dir.removeprefix("./").removeprefix("output/")))
+        step = step.withColumn("_t", markup.fix_image_paths(text, F.col("page_id"), figures_from_book(config)))
     if not config.keep_html:
         step = step.withColumn("_t", html.html_to_markdown(text))
         if config.postprocess:

@@ -92,10 +92,13 @@ def main(argv: list[str] | None = None) -> int:
         rows = sources.join(content, "path").withColumn("doc_id", F.lit("book"))
         parts = config.output_file.rpartition("/")[0] + "/parts"
         metrics = runs.recognise(spark, config, rows, make, parts)
+        failed = metrics.where("error").count()
+        if failed and failed == spark.read.parquet(parts).count():
+            return 2  # nothing but errors: no book
         pages = spark.read.parquet(parts).select("doc_id", "page_id", "ord")
         for r in runs.books(spark, config, pages, parts).toLocalIterator():
             files.write_book(r["markdown"], config.output_file)
-        return 2 if metrics.where("error").limit(1).count() else 0
+        return 2 if failed else 0
     except (files.SourceError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,11 @@ def recognise(spark: SparkSession, config: Config, sources: DataFrame, make: Cal
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    raw = extract.extract_pages(sources, make, done, config.use_layout_detection).persist()
+    # raw texts are dear, and the parts that say which are to be read change below: they go to a table first
+    folder = f"{parts_folder.rstrip('/')}-raw/{uuid.uuid4().hex}"
+    extract.extract_pages(sources, make, done, config.use_layout_detection).write.parquet(folder)
+    raw = spark.read.parquet(folder)
     parts = pages.text_parts(raw) if native else pages.page_parts(raw, config)
-    parts = parts.persist()
     files.write_parts(parts, parts_folder)
     return page_metrics(raw, parts)
 
