@@ -100,9 +100,18 @@ class WordEncoder:
             return cache[core.encode(cache.charset)] + self.runs[run]
         return array("H", [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.alphabet))]).tobytes()
 
-    def encode(self, texts) -> list[bytes]:
-        """Null texts count as empty."""
+    def encode(self, texts, keep: bool = True) -> list[bytes]:
+        """Null texts count as empty.  keep=False is for texts whose words won't come again: they aren't put by."""
         out: list[bytes] = []
+        if not keep:
+            for text in texts:
+                if not text:
+                    out.append(b"")
+                elif (m := self.simple(text)) and not m[2]:
+                    out.append(array("H", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.alphabet))]).tobytes())
+                else:
+                    out += self.encode([text])
+            return out
         latin, other = self.latin.__getitem__, self.other.__getitem__
         for text in texts:
             if not text:
