@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import DIGIT, LOWER, SPACE, WORD, chain, strip, sub
+from quire.functions.regex import DIGIT, LOWER, SPACE, WORD, bind, chain, strip, sub
 
 #: What a rule looks for, and what it leaves.
 PAGE_NUMBER_LINE = (rf"(?md)(?U)^{SPACE}*{DIGIT}{{1,3}}{SPACE}*$", "")
@@ -53,9 +53,8 @@ def collapse_loops(text: Column) -> Column:
     """
 
     def mend(line: Column) -> Column:
-        # a lambda's variable is computed once, an expression inside a lambda each time
-        hashes = F.transform(F.array(F.split(line, "")), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - LOOP_UNIT + 1), lambda i: F.xxhash64(F.slice(c, i, LOOP_UNIT))))
-        repeated = F.exists(hashes, lambda h: F.size(h) - F.size(F.array_distinct(h)) >= 2)
+        hashes = bind(F.split(line, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - LOOP_UNIT + 1), lambda i: F.xxhash64(F.slice(c, i, LOOP_UNIT))))
+        repeated = bind(hashes, lambda h: F.size(h) - F.size(F.array_distinct(h)) >= 2)
         return F.when((F.length(line) >= 3 * LOOP_UNIT) & repeated, sub(line, *LOOP)).otherwise(line)
 
     return F.when(F.length(text) >= 3 * LOOP_UNIT, F.array_join(F.transform(F.split(text, "\n", -1), mend), "\n")).otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import SPACE, chain, split_lines, strip, sub
+from quire.functions.regex import SPACE, bind, chain, split_lines, strip, sub
 
 #: What each step takes out or rewrites.
 SVG = r"<svg\b.*?</svg>"
@@ -36,12 +36,15 @@ def link_svgs(text: Column) -> Column:
     between, svgs = (F.regexp_extract_all(text, F.lit(pieces), F.lit(i)) for i in (1, 2))
     vector = F.transform(svgs, lambda s: (s != "") & ~s.rlike(SVG_WITH_IMAGE))
 
-    def link(svg: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(vector, F.lit(1), i + 1), lambda v: v))
-        padded = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
-        return F.when(F.get(vector, i), F.concat(F.lit("\n\n![](figures/inline_svg_"), padded, F.lit(".svg)\n\n"))).otherwise("")
+    def links(vector: Column) -> Column:
+        def link(is_vector: Column, i: Column) -> Column:
+            number = F.size(F.filter(F.slice(vector, F.lit(1), i + 1), lambda v: v))
+            padded = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
+            return F.when(is_vector, F.concat(F.lit("\n\n![](figures/inline_svg_"), padded, F.lit(".svg)\n\n"))).otherwise("")
 
-    linked = F.array_join(F.zip_with(between, F.transform(svgs, link), lambda a, b: F.concat(a, b)), "")
+        return F.transform(vector, link)
+
+    linked = F.array_join(F.zip_with(between, bind(vector, links), lambda a, b: F.concat(a, b)), "")
     return F.when(text.contains("<svg"), linked).otherwise(text)
 
 
@@ -74,7 +77,7 @@ def clean_markdown(text: Column, names: Column | None = None) -> Column:
     lines = F.filter(F.transform(lines, lambda line: clean_line(line, names)), lambda line: ~line.rlike(COMMENT_LINE))
     lines = F.transform(lines, lambda line: chain(line, SPACES))
     # of blank lines in a row the first stays, of those at the start none
-    kept = F.filter(lines, lambda line, i: (line != "") | ((i > 0) & (F.get(lines, i - 1) != "")))
+    kept = bind(lines, lambda own: F.filter(own, lambda line, i: (line != "") | ((i > 0) & (F.get(own, i - 1) != ""))))
     return strip(sub(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import DIGIT, SPACE, split_lines, starts, strip
+from quire.functions.regex import DIGIT, SPACE, bind, split_lines, starts, strip
 
 #: Lines looked at on either end; a number line; marks of a block; limits of a header line.
 MARGIN_LINES = 5
@@ -30,15 +30,20 @@ def page_number(text: Column) -> Column:
 
     A text without any is left as it is, line ends included.
     """
-    lines = split_lines(text)
-    n = F.size(lines)
-    marked = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.when((i < MARGIN_LINES) | (i >= n - MARGIN_LINES), F.regexp_extract(line, NUMBER_LINE, 1)).otherwise("").alias("number")))
-    numbers = F.transform(F.filter(marked, lambda m: m["number"] != ""), lambda m: _number(m["number"]))
-    first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    label = F.when(second == first + 1, F.concat_ws("-", first.cast("string"), second.cast("string"))).otherwise(first.cast("string"))
-    rest = F.array_join(F.transform(F.filter(marked, lambda m: m["number"] == ""), lambda m: m["line"]), "\n")
-    none = F.size(numbers) == 0
-    return F.struct(F.when(~none, label).alias("label"), F.when(none, text).otherwise(rest).alias("text"))
+
+    def mark(lines: Column) -> Column:
+        n = F.size(lines)
+        return F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.when((i < MARGIN_LINES) | (i >= n - MARGIN_LINES), F.regexp_extract(line, NUMBER_LINE, 1)).otherwise("").alias("number")))
+
+    def settle(marked: Column) -> Column:
+        numbers = F.transform(F.filter(marked, lambda m: m["number"] != ""), lambda m: _number(m["number"]))
+        first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        label = F.when(second == first + 1, F.concat_ws("-", first.cast("string"), second.cast("string"))).otherwise(first.cast("string"))
+        rest = F.array_join(F.transform(F.filter(marked, lambda m: m["number"] == ""), lambda m: m["line"]), "\n")
+        none = ~F.exists(marked, lambda m: m["number"] != "")
+        return F.struct(F.when(~none, label).alias("label"), F.when(none, text).otherwise(rest).alias("text"))
+
+    return bind(split_lines(text), lambda lines: bind(mark(lines), settle))
 
 
 def page_block(page_id: Column, text: Column, label: Column) -> Column:
@@ -68,7 +73,9 @@ def header_detection(text: Column, patterns: list[tuple[str, int]]) -> Column:
     """Lines that match a pattern (of Java) at their start get its level's marks; the first pattern that matches counts."""
 
     def mark(line: Column) -> Column:
-        bare = strip(line)
+        return bind(strip(line), lambda bare: case_of(line, bare))
+
+    def case_of(line: Column, bare: Column) -> Column:
         found = None
         for pattern, level in patterns:
             case = starts(bare, pattern), F.concat(F.lit("#" * level + " "), bare)

@@ -6,6 +6,8 @@ spelled out once here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ LOWER = "a-zéèêëàâîïôùûüçœ"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: a lambda's variable is, an expression that a lambda holds is computed each time."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def sub(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
 
@@ -35,9 +42,11 @@ def strip(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; an end at the very end opens no line, and an empty text has none."""
-    parts = F.split(text, LINE_ENDS, -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(bind(F.split(text, LINE_ENDS, -1), whole))
 
 
 def starts(text: Column, pattern: str) -> Column:
