@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.formats import padded, stem, suffix
+from quire.operators.keep import kept
 
 #: How a source's suffix names its kind.
 KINDS = {".pdf": "pdf", ".epub": "epub"}
@@ -41,9 +42,8 @@ def numbered(files: DataFrame, *order: Column, prefix: str = "page", start: int
 def with_position(rows: DataFrame, *order: Column, start: int = 1, name: str = "ord") -> DataFrame:
     """rows with their place in a total order, from start on."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
-    marked = dealt.withColumn("_part", part).withColumn("_in", inside)
+    # ranges come from a sample and may differ from one computation to the next, so rows are kept before they are counted
+    marked = kept(dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1)))
     # one row per partition
     sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return marked.join(sizes, "_part").withColumn(name, F.col("_before") + F.col("_in") + start).drop("_at", "_part", "_in", "_before")

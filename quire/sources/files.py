@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.formats import base_name, stem, suffix
-from quire.operators import order
+from quire.operators import keep, order
 
 LISTED = "path string, modificationTime timestamp, length long"
 
@@ -143,8 +143,6 @@ def write_parts(parts: DataFrame, folder: str) -> None:
         new.write.partitionBy("bucket").parquet(folder)
         return
     touched = new.select("bucket").distinct()
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_anti")
-    merged = kept.select(*new.columns).unionByName(new)
-    merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else merged.persist()
-    merged.count()
+    old_rows = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_anti")
+    merged = keep.kept(old_rows.select(*new.columns).unionByName(new))  # it reads the table that it is written to
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
