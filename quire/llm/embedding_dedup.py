@@ -7,8 +7,9 @@ second- or third-largest coordinate instead.  Pairs that meet in a bucket are ve
 every link that is reported reaches the limit.
 
 Equal vectors form a class and are hashed once; their links are counted, not expanded.  A bucket with more than `part_rows`
-rows is cut into parts, and each pair of parts is joined in a task of its own, so none is capped.  Verified pairs of classes
-are few and distinct; components come from them by star contraction.
+rows is cut into parts, and each pair of parts is joined in a task of its own, so none is capped.  No pair leaves its task: a pair that
+meets in several buckets counts in the first of them, which both vectors' hashes tell, so a bucket gives each row's number of
+links, and of its links a spanning forest; components come from those by star contraction.
 
 Vectors that are null, zero, or hold a null or a non-finite component link with nothing.  Vectors of
 different lengths link with nothing either.  A null vec_id links, but names no component unless all of its component's
@@ -76,33 +77,79 @@ def _usable(vector):
     return F.coalesce(sound, F.lit(False))
 
 
-def _probe(batches) -> Iterator:
-    """cls, dim, table, bucket, own of each probe; own is 1 in a vector's own bucket."""
+def _units(vectors):
+    import numpy as np
+
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hash(batches) -> Iterator:
+    """Classes with codes: by table and hash the three likeliest vertices (-1 where there are fewer), as 32-bit integers."""
     import numpy as np
 
     for batch in batches:
-        for dim, rows in batch.groupby("dim"):
-            x = np.array(rows["vector"].tolist(), dtype=np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for _, rows in batch.groupby(batch["vector"].map(len)):
+            x = _units(rows["vector"])
+            codes = np.full((len(x), TABLES, 2, 3), -1, dtype="<i4")
             for table in range(TABLES):
-                a, b = ranked(x, table, 0, 3), ranked(x, table, 1, 3)
-                for i, j in PROBES:
-                    if max(i, j) < a.shape[1]:
-                        yield pd.DataFrame({"cls": rows["cls"], "dim": np.int32(dim), "tbl": np.int32(table), "bucket": (a[:, i] << 24 | b[:, j]).astype(np.int64), "own": np.int32(i + j == 0)})
+                for part in range(2):
+                    got = ranked(x, table, part, 3)
+                    codes[:, table, part, : got.shape[1]] = got
+            yield rows.assign(codes=[c.tobytes() for c in codes])
+
+
+def _probe(batches) -> Iterator:
+    """cls, dim, tbl, bucket, own of each probe; own is 1 in a vector's own bucket."""
+    import numpy as np
+
+    for batch in batches:
+        codes = _codes(batch["codes"]).astype(np.int64)
+        for table in range(TABLES):
+            for i, j in PROBES:
+                a, b = codes[:, table, 0, i], codes[:, table, 1, j]
+                some = (a >= 0) & (b >= 0)
+                yield pd.DataFrame({"cls": batch["cls"][some], "dim": batch["dim"][some], "tbl": np.int32(table), "bucket": (a << 24 | b)[some], "own": np.int32(i + j == 0)})
+
+
+def _codes(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column), "<i4").reshape(len(column), TABLES, 2, 3)
+
+
+def _reaches(x, y):
+    """By pair and table, whether the own bucket of x is among those that y probes; codes of the pairs."""
+    import numpy as np
+
+    probed = np.zeros((4, 4), dtype=bool)
+    probed[tuple(zip(*PROBES, strict=True))] = True
+    same = x[:, :, :, :1] == y
+    rank = np.where(same.any(axis=3), same.argmax(axis=3), 3)
+    return probed[rank[:, :, 0], rank[:, :, 1]]
+
+
+def _counts_here(x, y, table: int, bucket: int):
+    """Whether this table and bucket are the first where each pair meets."""
+    import numpy as np
+
+    to_x, to_y = _reaches(x[:, : table + 1], y[:, : table + 1]), _reaches(y[:, : table + 1], x[:, : table + 1])
+    none = np.iinfo(np.int64).max
+    of_x, of_y = (z[:, table, 0, 0].astype(np.int64) << 24 | z[:, table, 1, 0] for z in (x, y))
+    least = np.minimum(np.where(to_x[:, table], of_x, none), np.where(to_y[:, table], of_y, none))
+    return ~(to_x | to_y)[:, :table].any(axis=1) & (least == bucket)
 
 
 def _verify(limit: float):
     def work(rows):
-        """Pairs of a group; rows: part, own, cls, vector of the bucket's parts i and j."""
+        """Links of a bucket's parts i and j: numbers by row, and a forest."""
         import numpy as np
 
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        x = np.array(rows["vector"].tolist(), dtype=np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        cls, part, own = rows["cls"].to_numpy(), rows["part"].to_numpy(), rows["own"].to_numpy().astype(bool)
-        out = []
+        i, j, table, bucket = (int(rows[c].iloc[0]) for c in ("i", "j", "tbl", "bucket"))
+        x, codes = _units(rows["vector"]), _codes(rows["codes"])
+        cls, part, own, n = rows["cls"].to_numpy(), rows["part"].to_numpy(), rows["own"].to_numpy().astype(bool), rows["n"].to_numpy()
+        links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
         for at in range(0, len(x), 256):
             some = slice(at, at + 256)
             near = x[some] @ x.T >= limit - 1e-9
@@ -112,9 +159,22 @@ def _verify(limit: float):
                 near &= part[some, None] != part[None, :]
             a, b = np.nonzero(near)
             a += at
-            exact = np.einsum("nd,nd->n", x[a], x[b]) >= limit
-            out.append(pd.DataFrame({"a": cls[a[exact]], "b": cls[b[exact]]}))
-        return pd.concat(out).drop_duplicates()
+            for k in range(0, len(a), 50_000):
+                p, q = a[k : k + 50_000], b[k : k + 50_000]
+                exact = np.einsum("nd,nd->n", x[p], x[q]) >= limit
+                p, q = p[exact], q[exact]
+                here = _counts_here(codes[p], codes[q], table, bucket)
+                links += np.bincount(p[here], weights=n[q[here]], minlength=len(x)).astype(np.int64)
+                links += np.bincount(q[here], weights=n[p[here]], minlength=len(x)).astype(np.int64)
+                while len(p):
+                    ra, rb = root[p], root[q]
+                    apart = ra != rb
+                    p, q, ra, rb = p[apart], q[apart], ra[apart], rb[apart]
+                    np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+                    while (root[root] != root).any():
+                        root = root[root]
+        linked, child = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(x)))
+        return [(cls[linked], np.full(len(linked), -1), links[linked]), (cls[child], cls[root[child]], np.zeros(len(child), np.int64))]
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -139,28 +199,31 @@ def _verify(limit: float):
 
         key = rows[["dim", "tbl", "bucket", "i", "j"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        found = [work(rows.iloc[a:b]) for a, b in zip(starts, [*starts[1:], len(rows)], strict=True) if b - a > 1]
-        found = [x for x in found if len(x)]
+        found = [x for a, b in zip(starts, [*starts[1:], len(rows)], strict=True) if b - a > 1 for x in work(rows.iloc[a:b]) if len(x[0])]
         if found:
-            yield pd.concat(found).drop_duplicates()
+            yield pd.DataFrame(dict(zip(("a", "b", "links"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
 
-def pairs(classes: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -> DataFrame:
-    """classes: cls (distinct, a long), vector.  Distinct verified pairs (a, b), a < b."""
-    probes = classes.select("cls", "vector", F.size("vector").alias("dim")).mapInPandas(_probe, "cls long, dim int, tbl int, bucket long, own int")
+def link(classes: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """classes: cls (distinct, a long), n (copies), vector.  (cls, others), the number of rows linked to it outside its class; and links (a, b) that join what all links join."""
+    classes = classes.select("cls", "n", F.size("vector").alias("dim"), "vector")
+    hashed = _base.cut(classes.mapInPandas(_hash, "cls long, n long, dim int, vector array<double>, codes binary"))
+    probes = hashed.select("cls", "dim", "codes").mapInPandas(_probe, "cls long, dim int, tbl int, bucket long, own int")
     probes = _base.cut(probes)
     bucket = ["dim", "tbl", "bucket"]
-    size = probes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some"))
-    size = size.where((F.col("n") > 1) & (F.col("some") > 0)).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+    size = probes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows"), F.max("own").alias("some"))
+    size = size.where((F.col("rows") > 1) & (F.col("some") > 0)).withColumn("parts", F.ceil(F.col("rows") / part_rows).cast("int"))
     met = probes.join(size.select(*bucket, "parts"), bucket).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # a row of a large bucket goes to each pair of parts that holds its own
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "own", "cls").join(classes.select("cls", "vector"), "cls")
+    met = met.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "own", "cls").join(hashed.select("cls", "n", "vector", "codes"), "cls")
     group = [*bucket, "i", "j"]
     dealt = met.repartition(*group).sortWithinPartitions(*group)
-    return dealt.mapInPandas(_verify(limit), "a long, b long").distinct()
+    found = _base.cut(dealt.mapInPandas(_verify(limit), "a long, b long, links long"))
+    others = found.where("b < 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
+    return others, found.where("b >= 0").select("a", "b").distinct()
 
 
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -> DataFrame:
@@ -172,12 +235,10 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, part_rows: int = P
     keyed = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), same).alias("same"))
     classes = keyed.where("same is not null").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     classes = _base.cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    found = _base.cut(pairs(classes.select("cls", "vector"), limit, part_rows))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    roots = classes.select("cls", "same", "n", "least").join(components(found).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    others, forest = link(classes, limit, part_rows)
+    roots = classes.select("cls", "same", "n", "least").join(components(forest).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = roots.join(ids, "root").join(others.withColumnRenamed("a", "cls"), "cls", "left")
+    table = roots.join(ids, "root").join(others, "cls", "left")
     table = table.select("same", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "same").join(table, "same", "left")
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
