@@ -58,10 +58,9 @@ def has_images_below(spark: SparkSession, folder: str, extensions: tuple[str, ..
 
 def subfolder_plan(spark: SparkSession, folder: str, extensions: tuple[str, ...], chapters: list[str] | None = None, prefix: str = "page", start: int = 1, by_level: bool = False) -> DataFrame:
     """old, new_name of the images in the subfolders: folder by folder, by time or level by level."""
-    root = spark.createDataFrame([(os.path.abspath(folder).rstrip("/"),)], "root string").first()["root"]
     files = listing(spark, folder, extensions, recursive=True)
-    relative = F.regexp_replace("path", "^(?:file:)?/*" + root.replace(".", r"\.") + "/", F.lit(""))
-    files = files.withColumn("relative", F.when(F.col("path").startswith("file:"), F.regexp_replace(relative, "^file:/*", F.lit(""))).otherwise(relative))
+    root = os.path.abspath(local(folder)) if "://" not in folder else folder.rstrip("/")
+    files = files.withColumn("relative", F.substr("path", F.locate(root, "path") + F.lit(len(root) + 1)))
     files = files.where(F.instr("relative", "/") > 0).withColumn("folder", F.substring_index("relative", "/", 1))
     folders = order.requested(files.select("folder").distinct(), chapters).select("folder", F.col("ord").alias("folder_ord"))
     inner = F.expr("substring(relative, length(folder) + 2)")
