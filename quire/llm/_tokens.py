@@ -15,7 +15,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a generation, of which a worker keeps two (a word and its ids take about 200 bytes), and the longest that is kept.
-CACHE_WORDS = 280_000
+CACHE_WORDS = 160_000
 CACHE_WORD_BYTES = 48
 
 if sys.byteorder != "little":
