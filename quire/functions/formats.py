@@ -11,7 +11,21 @@ def thousands(number: Column) -> Column:
 
 
 def seconds(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}fs", value)
+    """With 1 to 3 digits, of the double's exact value, ties to even: Java's formatter rounds its shortest decimal form, ties up."""
+    size = F.abs(value)
+    known = F.coalesce(size < 2.0**53, F.lit(False))
+    size = F.when(known, size).otherwise(0.0)
+    part, limb, ten = size - F.floor(size), 2**52, 10**digits
+    # the fraction as two integers of 52 bits, which holds all of it that can count
+    high = F.floor(part * 2.0**52)
+    low = F.floor((part * 2.0**52 - high) * 2.0**52) * ten
+    high = high * ten + F.shiftright(low, 52)
+    low, left, shown = low % limb, high % limb, F.shiftright(high, 52)
+    up = (left > limb // 2) | ((left == limb // 2) & ((low > 0) | (shown % 2 == 1)))
+    shown = shown + F.when(up, 1).otherwise(0)
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
+    exact = F.format_string(f"%s%d.%0{digits}ds", sign, F.floor(size) + F.when(shown == ten, 1).otherwise(0), shown % ten)
+    return F.when(known, exact).otherwise(F.format_string(f"%.{digits}fs", value))
 
 
 def duration(value: Column) -> Column:

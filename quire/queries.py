@@ -335,6 +335,12 @@ def report_rows(spark, sf_dir):
     return stats.detail_rows(_metrics(spark, sf_dir).where(" and ".join(even)))
 
 
+@query(f"""{_METRICS} select ord, case when error then '| ' || name || ' | — | — | — | ERROR |  |' else '| ' || name || ' | ' || printf('%.2fs', t_ocr) || ' | ' || printf('%.3fs', t_post) || ' | ' || printf('%.2fs', total) || ' | ' || format('{{:,}}', chars) || ' | ' || case when no_layout then 'fallback' else '' end || ' |' end as line from m""")
+def report_rows_all(spark, sf_dir):
+    """Of all pages, those at the half of the last digit too."""
+    return stats.detail_rows(_metrics(spark, sf_dir))
+
+
 @query()
 def run_report(spark, sf_dir):
     return stats.report(_metrics(spark, sf_dir), total=12_000, skipped=5, title="Run Report", facts={"Method": "text"}, load_s=1.0, elapsed_s=90.0)

@@ -170,3 +170,24 @@ def test_formats(spark):
 
 def test_digit_table():
     assert all(unicodedata.decimal(c) == int(v) for c, v in zip(pages._DIGITS, pages._VALUES, strict=True))
+
+
+def test_seconds_round_as_python_does(spark):
+    r = random.Random(7)
+    values = [0.0, -0.0, 0.125, 0.375, 1.005, 2.675, 0.0005, 0.9995, 0.995, 0.005, -0.125, 1e-9, 5e-324, 4503599627370495.5, 1.5e15]
+    values += [r.randrange(60_000) / 100 * k for k in (0.125, 0.75, 1) for _ in range(500)] + [r.random() * 10 ** r.randint(-9, 9) for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    for digits in (1, 2, 3):
+        assert [x[0] for x in df.select(formats.seconds(F.col("v"), digits)).collect()] == [f"{v:.{digits}f}s" for v in values]
+
+
+def test_report_has_a_row_of_every_page(spark):
+    from quire.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for e in spark.read.parquet(f"{sf}/events.parquet").collect():
+        i, v = e["event_id"], e["value"]
+        ok = f"{v * 0.75:.2f}s | {v * 0.125:.3f}s | {v:.2f}s | {i % 3000:,} | {'fallback' if i % 10 == 0 else ''}"
+        want.append((i, f"| e{i} | {'— | — | — | ERROR | ' if e['event_type'] == 'error' else ok} |"))
+    assert sorted(map(tuple, QUERIES["report_rows_all"](spark, sf).collect())) == sorted(want)
