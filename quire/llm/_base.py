@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where none is set on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -47,16 +49,32 @@ def _place(uri: str):
 
 
 def put_file(uri: str, data: bytes) -> None:
-    """Writes under another name first, so that a task that is run twice leaves one whole file."""
-    where, path = _place(uri)
-    where.create_dir(path.rpartition("/")[0], recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    with where.open_output_stream(own, compression=None) as out:
-        out.write(data)
-    where.move(own, path)
+    file = NewFile(uri)
+    file.put(data)
+    file.close()
+
+
+class NewFile:
+    """A file that is written under another name first, so that a task that is run twice leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self.where, self.path = _place(uri)
+        self.where.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.own, self.size = f"{self.path}.{uuid.uuid4().hex}.part", 0
+        self.out = self.where.open_output_stream(self.own, compression=None)
+
+    def put(self, data: bytes) -> int:
+        """Appends; gives where data begins."""
+        self.out.write(data)
+        self.size += len(data)
+        return self.size - len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.where.move(self.own, self.path)
 
 
-def get_file(uri: str) -> bytes:
+def get_bytes(uri: str, first: int, size: int) -> bytes:
     where, path = _place(uri)
     with where.open_input_file(path) as file:
-        return file.read()
+        return file.read_at(size, first)
