@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import _base
-from quire.llm._tokens import encoder, vocabulary_path
+from quire.llm._tokens import encoder, slices, vocabulary_path
 
 CAPACITY = 2048
 #: Pieces of a bucket, about.
@@ -119,23 +119,24 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
         import zlib
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u2").tobytes()
+        enc = encoder(vocabulary)
         for batch in batches:
-            names, rows = batch["doc_id"].tolist(), []
-            for name, got in zip(names, encode(batch["text"].tolist()), strict=True):
-                ids = np.frombuffer(got + end, "<u2").astype("<u4")
-                for k, a in enumerate(range(0, len(ids), capacity)):
-                    some = ids[a : a + capacity]
-                    rows.append((name, k, a, len(some), zlib.crc32(some)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    # doc_id goes to Python as text: pandas would turn a long with nulls into a double
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    kind = docs.schema["doc_id"].dataType
-    cut_rows = named.mapInPandas(cut_up, "doc_id string, piece int, start long, length long, ids_crc32 long")
-    return cut_rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+            for at, to in slices(batch.column("text"), 8 << 20):
+                ids, lengths = enc.encode(batch.column("text").slice(at, to - at), end_id)
+                each = -(-lengths // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(len(lengths)), each)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                size = np.minimum(lengths[doc] - start, capacity)
+                edges = (np.concatenate([[0], np.cumsum(size)]) * 4).tolist()  # pieces follow one another without gaps
+                view = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(view[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+                names = batch.column("doc_id").slice(at, to - at).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([names, pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut_up, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -145,11 +146,12 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     entries, _ = plan(counts, capacity)
     total = sum(n for _, n in counts)
     buckets = max(_base.shuffle_partitions(spark), -(-total // BUCKET_ROWS))
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # numbers of rows that read the same each time, so that equal rows part, and keep their places
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).withColumn("_bucket", F.pmod(F.xxhash64("_nth"), F.lit(buckets)))
     base = dealt.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("_bucket", "length").orderBy("_nth")
     ranked = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(base, ["_bucket", "length"]).withColumn("_rank", F.col("_base") + F.col("_in"))
     by_length: dict[int, list] = {}
     for length, rank, first, each, offset in entries:
