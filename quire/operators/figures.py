@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pathlib import PurePosixPath
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labels of boxes that are figures, the least score, labels of blocks that are left out of a page's text.
@@ -45,8 +48,25 @@ def migration_plan(figures: DataFrame, existing: DataFrame, page_ids: DataFrame
 
 
 def collision_names(files: DataFrame) -> DataFrame:
-    """files (doc_id, path, name) with saved: a name's second file in a document is name_1, and so on."""
-    k = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("path")) - 1
-    numbered = files.withColumn("_k", k)
-    parted = F.regexp_replace("name", r"(?<=.)(\.[^.]*)\z", F.lit("")), F.regexp_extract("name", r".(\.[^.]*)\z", 1)
-    return numbered.withColumn("saved", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat(parted[0], F.lit("_"), F.col("_k").cast("string"), parted[1]))).drop("_k")
+    """files (doc_id, path, name, and ord where their order isn't that of paths) with saved: a name that is taken gets the first number behind its stem that is free.
+
+    Which numbers are free depends on all names before, so a document's names, not its files, meet in one call.
+    """
+    place = "ord" if "ord" in files.columns else "path"
+
+    def name_all(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        tried: dict[str, int] = {}
+        saved = []
+        for name in rows.sort_values(place)["name"]:
+            found, path = name, PurePosixPath(name)
+            while found in used:
+                tried[name] = tried.get(name, 0) + 1
+                found = f"{path.stem}_{tried[name]}{path.suffix}"
+            used.add(found)
+            saved.append(found)
+        return rows.sort_values(place)[["doc_id", "path"]].assign(saved=saved)
+
+    kinds = {c: files.schema[c].dataType.simpleString() for c in ("doc_id", "path")}
+    names = files.select(*dict.fromkeys(["doc_id", "path", "name", place])).groupBy("doc_id").applyInPandas(name_all, f"doc_id {kinds['doc_id']}, path {kinds['path']}, saved string")
+    return files.join(names, ["doc_id", "path"])

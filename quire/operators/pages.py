@@ -88,7 +88,7 @@ def assemble(page_list: DataFrame, parts: DataFrame, method: str, headers: tuple
     """
     own = parts.select("doc_id", "page_id", "block", "status")
     joined = page_list.select("doc_id", "page_id", "ord").join(own, ["doc_id", "page_id"])
-    head = F.lit(f"{BOOK_TITLE}<!-- Generated by {method} -->\n")
+    head = F.lit(f"{BOOK_TITLE}<!-- Generated with {method} -->\n")
     body = F.expr("listagg(block, '') within group (order by ord, page_id)")
     books = joined.groupBy("doc_id").agg(F.concat(head, body).alias("markdown"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "error").alias("n_errors"))
     return books.withColumn("markdown", pages.header_detection(F.col("markdown"), list(headers))) if headers else books

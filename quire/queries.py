@@ -231,15 +231,15 @@ _VOLUME = "source || '-' || (doc_id // 500)"
 
 
 @query(f"""with b as (select {_VOLUME} as book, doc_id, doc_id % 50 = 7 as failed, text from documents),
-p as (select book, doc_id, failed, case when failed then chr(10) || chr(10) || '<!-- Page p' || doc_id || ' — ERROR: timeout -->' || chr(10) else chr(10) || chr(10) || '<!-- Page p' || doc_id || ' -->' || chr(10) || chr(10) || text || chr(10) end as block from b where doc_id % 11 <> 3)
-select book, '# OCR Book' || chr(10) || chr(10) || '<!-- Generated by text -->' || chr(10) || string_agg(block, '' order by doc_id) as markdown, count(*) as n_pages, count(*) filter (where failed) as n_errors from p group by book""")
+p as (select book, doc_id, failed, case when failed then chr(10) || chr(10) || '<!-- Page p' || doc_id || ' — ERROR: timeout -->' || chr(10) else chr(10) || chr(10) || '<!-- Page p' || doc_id || ' -->' || chr(10) || chr(10) || text || chr(10) end as block from b)
+select book, '# OCR Book' || chr(10) || chr(10) || '<!-- Generated with text -->' || chr(10) || string_agg(block, '' order by doc_id) as markdown, count(*) as n_pages, count(*) filter (where failed) as n_errors from p group by book""")
 def assemble_books(spark, sf_dir):
     """Volumes of 500 documents of a source at most: a book is as long as it is, but a source has no bound."""
     docs = _table(spark, sf_dir, "documents").withColumn("book", F.expr("concat(source, '-', cast(doc_id div 500 as string))"))
     page_id = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
     rows = docs.select(F.col("book").alias("doc_id"), page_id.alias("page_id"), F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 50 == 7).alias("failed"))
     block = F.when(F.col("failed"), pages.error_block(F.col("page_id"), F.lit("timeout"))).otherwise(pages.page_block(F.col("page_id"), F.col("text"), F.lit(None).cast("string")))
-    parts = rows.where("ord % 11 <> 3").select("doc_id", "page_id", block.alias("block"), F.when(F.col("failed"), "error").otherwise("ok").alias("status"))
+    parts = rows.select("doc_id", "page_id", block.alias("block"), F.when(F.col("failed"), "error").otherwise("ok").alias("status"))
     return page_ops.assemble(rows.select("doc_id", "page_id", "ord"), parts, "text").withColumnRenamed("doc_id", "book")
 
 
@@ -268,7 +268,7 @@ def chapter_join(spark, sf_dir):
     return order.requested(_table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), "doc_id"), ASKED).select("ord", "folder", "doc_id")
 
 
-@query("select 2::bigint as ord, 'nowhere' as folder")
+@query("""with a as (select unnest(['src3', 'src11', 'nowhere', 'src0']) as folder, unnest([0, 1, 2, 3])::bigint as ord) select ord, folder from a where folder not in (select source from documents)""")
 def chapters_missing(spark, sf_dir):
     return order.not_found(_table(spark, sf_dir, "documents").select(F.col("source").alias("folder")), ASKED)
 
@@ -327,21 +327,35 @@ def fallback_pages(spark, sf_dir):
     return stats.fallback_pages(_metrics(spark, sf_dir))
 
 
-@query(f"""{_METRICS} select ord, case when error then '| ' || name || ' | — | — | — | ERROR |  |' else '| ' || name || ' | ' || printf('%.2fs', t_ocr) || ' | ' || printf('%.3fs', t_post) || ' | ' || printf('%.2fs', total) || ' | ' || format('{{:,}}', chars) || ' | ' || case when no_layout then 'fallback' else '' end || ' |' end as line from m
-where round(t_ocr * 100, 6) % 1 <> 0.5 and round(t_post * 1000, 6) % 1 <> 0.5 and round(total * 100, 6) % 1 <> 0.5""")
+@query(f"""{_METRICS} select ord, case when error then '| ' || name || ' | — | — | — | ERROR |  |' else '| ' || name || ' | ' || printf('%.2fs', t_ocr) || ' | ' || printf('%.3fs', t_post) || ' | ' || printf('%.2fs', total) || ' | ' || format('{{:,}}', chars) || ' | ' || case when no_layout then 'fallback' else '' end || ' |' end as line from m""")
 def report_rows(spark, sf_dir):
-    """Values at the half of the last digit are left out: engines round them apart."""
-    even = [f"round({c} * {k}, 6) % 1 <> 0.5" for c, k in (("t_ocr", 100), ("t_post", 1000), ("total", 100))]
-    return stats.detail_rows(_metrics(spark, sf_dir).where(" and ".join(even)))
+    return stats.detail_rows(_metrics(spark, sf_dir))
 
 
-@query(f"""{_METRICS} select ord, case when error then '| ' || name || ' | — | — | — | ERROR |  |' else '| ' || name || ' | ' || printf('%.2fs', t_ocr) || ' | ' || printf('%.3fs', t_post) || ' | ' || printf('%.2fs', total) || ' | ' || format('{{:,}}', chars) || ' | ' || case when no_layout then 'fallback' else '' end || ' |' end as line from m""")
-def report_rows_all(spark, sf_dir):
-    """Of all pages, those at the half of the last digit too."""
-    return stats.detail_rows(_metrics(spark, sf_dir))
+def _cells(label: str, step: str, wide: int, less: int) -> str:
+    numbers = " || ' | ' || ".join([f"printf('%.{wide}fs', {f}({step}))" for f in ("avg", "min", "max")] + [f"printf('%.{less}fs', sum({step}))"])
+    return f"'| {label} | ' || {numbers} || ' | ' || printf('%.1f%%', 100 * sum({step}) / sum(total)) || ' |'"
 
 
-@query()
+_REPORT = [
+    "'# Run Report'", "''", "'**Method** : text  '", "''", "'## Summary'", "''", "'| Metric | Value |'", "'|---|---|'", "'| Total pages | 12000 |'", "'| Processed successfully | ' || count(*) || ' |'",
+    "'| Skipped (resume) | 5 |'", "'| Errors | ' || (select count(*) from m where error) || ' |'", "'| Fallback no-layout | ' || count(*) filter (where no_layout) || ' |'", "'| Model load | 1.0s |'",
+    "'| Total duration (pipeline) | 1.5 min |'", "'| Total characters | ' || format('{:,}', sum(chars)::bigint) || ' |'", "'| Average characters/page | ' || format('{:,}', (sum(chars) // count(*))::bigint) || ' |'", "''",
+    "'## Execution Time Breakdown'", "''", "'| Step | Avg | Min | Max | Total | % |'", "'|---|---|---|---|---|---|'", _cells("Inference (pipeline.predict)", "t_ocr", 2, 1), _cells("Post-processing", "t_post", 3, 2),
+    "'| **Total/page** | **' || printf('%.2fs', avg(total)) || '** | **' || printf('%.2fs', min(total)) || '** | **' || printf('%.2fs', max(total)) || '** | **' || printf('%.1fs', sum(total)) || '** | — |'", "''",
+]
+_REVIEW = ["## Pages processed in fallback (without layout) — to review", "", "These pages triggered a timeout and were reprocessed without layout detection.", "Quality may be degraded (missing headers, broken words).", ""]
+_DETAIL = ["## Per-page Detail", "", "| Page | OCR | Post-processing | Total | Characters | Notes |", "|---|---|---|---|---|---|"]
+_ROWS = ORACLE_SQL["report_rows"].removeprefix(_METRICS)
+
+
+def _listed(part: int, lines: list[str]) -> str:
+    return f"select {part} as part, unnest(range({len(lines)}))::bigint as ord, unnest([{', '.join(lines)}]) as line"
+
+
+@query(f"""{_METRICS}, d as ({_ROWS}) {_listed(0, _REPORT)} from m where not error
+union all {_listed(1, [f"'{x}'" for x in _REVIEW])} union all select 2, ord, '- ' || name from m where not error and no_layout union all select 3, 0, ''
+union all {_listed(4, [f"'{x}'" for x in _DETAIL])} union all select 5, ord, line from d union all select 6, 0, ''""")
 def run_report(spark, sf_dir):
     return stats.report(_metrics(spark, sf_dir), total=12_000, skipped=5, title="Run Report", facts={"Method": "text"}, load_s=1.0, elapsed_s=90.0)
 
@@ -411,12 +425,7 @@ def pdf_method(spark, sf_dir):
     return _table(spark, sf_dir, "labels").select("doc_id", extract.resolve_method(asked, F.when(F.col("quality") == 1, "text").otherwise("image"), F.col("toxic") == 1).alias("method"))
 
 
-EPUB_LINES = """concat('::: {.x}', chr(10), '> ::: y', chr(10), 'a  b{.c}   d [/] e', chr(92), ', f', chr(92), '! end', chr(92), chr(10), chr(10), chr(10), '# [1.', cast(doc_id % 9 as varchar(9)), '] Popular', chr(10), '<!-- gone -->', chr(10), '[[site]](http://e.org)', chr(10), '## [[2] ][LLMs ]', chr(10), text)"""
-
-
-@query()  # lookarounds
-def epub_clean(spark, sf_dir):
-    return _each(spark, sf_dir, EPUB_LINES, epub.clean_markdown)
+EPUB_LINES = """concat(case when doc_id % 3 = 0 then concat('a<svg w="1">', chr(10), '<g/></svg>b<svg><image xlink:href="i.png"/></svg>c', chr(10)) else '' end, '![al](../i/p', cast(doc_id % 5 as varchar(9)), '.png){w=1} [] ![](z.png) [](e) see [[in]] and [plain] [l](u) [r][s] ![[keep]]', chr(10), '`<!-- c -->` x', chr(10), '::: {.x}', chr(10), '> ::: y', chr(10), 'a  b{.c}   d [/] e', chr(92), ', f', chr(92), '! end', chr(92), chr(10), chr(10), chr(10), '# [1.', cast(doc_id % 9 as varchar(9)), '] Popular', chr(10), '<!-- gone -->', chr(10), '[[site]](http://e.org)', chr(10), '## [[2] ][LLMs ]', chr(10), text)"""
 
 
 _STEP = re_("x", (rf"{S}*\{{[^{{}}]+\}}", ""))
@@ -439,6 +448,35 @@ def epub_line_steps(spark, sf_dir):
     return _each(spark, sf_dir, EPUB_LINES, run)
 
 
+def _put(text: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, {a}, {b})"
+    return text
+
+
+# marks stand for brackets that a lookaround spares: 2 for one behind an exclamation mark, 3 for what ends a link's text, 4 for what ends a reference's
+_CELL = _put(re_("x", (r"!\[([^\]]*)\]\((?:[^()]*/)?([^/()]+)\)", r"![\1](figures/\2)")), ("'[/]'", "'/'"))
+_CELL = _put(re_(_CELL, (rf"{S}*\{{[^{{}}]+\}}", "")), ("'![]'", "'!' || chr(2)"), ("'[]('", "chr(3) || '('"), ("'[]'", "''"), ("'!' || chr(2)", "'![]'"), ("chr(3) || '('", "'[]('"))
+_CELL = re_(_CELL, (rf"\A({S}*#{{1,6}}{S}*)\[\[?{S}*(\p{{Nd}}+(?:\.\p{{Nd}}+)*){S}*\]?{S}*\](?:\[{S}*([^\]]*?){S}*\])?", r"\1\2 \3"))
+_CELL = _put(_CELL, ("'!['", "'!' || chr(2)"), ("']]('", "chr(3) || '('"))
+_CELL = _put(re_(_CELL, (r"\[\[([^\]\x03]+)\]\]", r"\1")), ("chr(3) || '('", "']]('"))
+_CELL = _put(re_(_CELL, (r"\[\[([^\]]+)\]\]\(([^)]+)\)", r"[\1](\2)")), ("']('", "chr(3) || '('"), ("']['", "chr(4) || '['"))
+_CELL = _put(re_(_CELL, (r"\[([^\]\x03\x04]+)\]", r"\1")), ("chr(2)", "'['"), ("chr(3)", "']'"), ("chr(4)", "']'"))
+_CELL = re_(_CELL, (r"\\([,;.!?])", r"\1"), (r"\\\z", ""))
+_SVGS = "regexp_replace(regexp_replace(text, '<svg><image xlink:href=[^>]*></svg>', '', 'g'), '<svg\\b.*?</svg>', chr(10) || chr(10) || '![](figures/inline_svg_001.svg)' || chr(10) || chr(10), 's')"
+_EPUB = f"""with w as (select doc_id, {EPUB_LINES} as raw from documents), d as (select doc_id, raw, {_SVGS.replace("(text,", "(raw,")} as text from w), l as (select doc_id, raw, {_LINES} as lines from d),
+k as (select doc_id, raw, list_filter(case when lines[-1] = '' then lines[:-2] else lines end, lambda x: not regexp_matches(x, '\\A{S}*(?:>{S}*)?:{{3,}}')) as lines from l),
+c as (select doc_id, raw, list_filter(list_transform(lines, lambda x: {_CELL}), lambda x: not regexp_matches(x, '\\A{S}*(?:<!--.*?-->|`<!--.*?-->`)')) as lines from k),
+t as (select doc_id, raw, list_transform(lines, lambda x: {re_("x", ("  +", " "), (rf"{S}+" + r"\z", ""))}) as lines from c),
+b as (select doc_id, raw, array_to_string(list_filter(lines, lambda x, i: x <> '' or (i > 1 and lines[i - 1] <> '')), chr(10)) as text from t),
+e as (select doc_id, raw, {re_("text", BLANKS, STRIP)} as text from b)"""
+
+
+@query(_EPUB + " select doc_id, text from e")
+def epub_clean(spark, sf_dir):
+    return _each(spark, sf_dir, EPUB_LINES, epub.clean_markdown)
+
+
 @query("""with r as (select doc_id, case when doc_id % 3 = 0 then 'OEBPS/img/' || doc_id || '.png' when doc_id % 3 = 1 then 'img' || chr(92) || doc_id || '.png' else 'x/y' || doc_id || '.gif' end as src from documents)
 select doc_id, '![a](figures/' || case when doc_id % 3 = 0 then 'saved' || doc_id || '.png' when doc_id % 3 = 1 then 'norm.png' else 'y' || doc_id || '.gif' end || ') z' as text from r""")
 def epub_image_refs(spark, sf_dir):
@@ -448,9 +486,10 @@ def epub_image_refs(spark, sf_dir):
     return docs.select("doc_id", epub.image_refs(F.concat(F.lit("![a]("), source, F.lit(") z")), names).alias("text"))
 
 
-@query("with d as (select doc_id, length(text) as n, length(text) - length(replace(text, chr(10), '')) as lines from documents) select doc_id, n::bigint as raw_chars, n::bigint as clean_chars, lines::bigint as lines, 3::bigint as images from d")
+@query(_EPUB + """ select doc_id, length(raw)::bigint as raw_chars, length(text)::bigint as clean_chars, (length(text) - length(replace(text, chr(10), '')))::bigint as lines, len(regexp_extract_all(text, '!\\[[^\\[]'))::bigint as images from e""")
 def epub_metrics(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", epub.metrics(F.col("text"), F.col("text"), F.lit(3)).alias("m")).select("doc_id", "m.*")
+    docs = _docs(spark, sf_dir, EPUB_LINES).select("doc_id", "text", epub.clean_markdown(F.col("text")).alias("clean"))
+    docs = docs.select("doc_id", epub.metrics(F.col("text"), F.col("clean"), F.regexp_count("clean", F.lit(r"!\[[^\[]"))).alias("m")).select("doc_id", "m.*")
     return docs.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("raw_chars", "clean_chars", "lines", "images")])
 
 
@@ -506,10 +545,17 @@ def figure_migration(spark, sf_dir):
     return figures.migration_plan(found, there, labels.select(F.col("doc_id").alias("page_id"))).select("name", "path")
 
 
-@query("""with f as (select doc_id // 50 as book, lpad(doc_id::varchar, 9, '0') as path, 'i' || (doc_id % 4) || '.png' as name from documents), k as (select *, row_number() over (partition by book, name order by path) - 1 as k from f)
-select path, case when k = 0 then name else name[:-5] || '_' || k || '.png' end as saved from k""")
+_CLASHING = "case doc_id % 7 when 0 then 'x.png' when 1 then 'x_1.png' when 2 then 'x.png' when 3 then 'y.t.png' when 4 then 'x_2.png' when 5 then 'y.t.png' else 'x_1_1.png' end"
+
+
+@query(f"""with recursive f as (select doc_id // 50 as book, row_number() over (partition by doc_id // 50 order by doc_id) as k, lpad(doc_id::varchar, 9, '0') as path, {_CLASHING} as name from documents),
+r as (select distinct book, 0::bigint as k, '' as path, []::varchar[] as used from f
+ union all select f.book, f.k, f.path, list_append(r.used, case when not list_contains(r.used, f.name) then f.name
+  else list_filter(list_transform(range(1, len(r.used) + 2), lambda n: f.name[:-5] || '_' || n || '.png'), lambda c: not list_contains(r.used, c))[1] end) from r join f on f.book = r.book and f.k = r.k + 1)
+select path, used[-1] as saved from r where k > 0""")
 def collision_names(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.concat(F.lit("i"), (F.col("doc_id") % 4).cast("string"), F.lit(".png")).alias("name"))
+    """Files whose names clash with one another and with numbered ones, 50 a book."""
+    d = _table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.expr(_CLASHING).alias("name"))
     return figures.collision_names(d).select("path", "saved")
 
 
@@ -524,7 +570,7 @@ def pdf_page_ids(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", pages.pdf_page_id(F.lit("book"), F.col("doc_id")).alias("page_id"), thousands(F.col("n_chars")).alias("shown"))
 
 
-@query()
+@query(_NUMBERED.replace(NUMBERS, "text") + f"select doc_id::varchar as doc_id, 'p' || doc_id as page_id, length({re_(CLEANED, *TABLES)})::bigint as chars, 'ok' as status from r")
 def stream_ingest(spark, sf_dir):
     """documents as a stream of page files: parts as the batches leave them."""
     import tempfile

@@ -25,11 +25,11 @@ def images(books: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for path in archive.namelist():
+                    for i, path in enumerate(archive.namelist()):
                         if path.lower().endswith(IMAGES):
-                            yield pd.DataFrame({"doc_id": [doc], "path": [path], "name": [path.rpartition("/")[2]], "content": [archive.read(path)]})
+                            yield pd.DataFrame({"doc_id": [doc], "ord": [i], "path": [path], "name": [path.rpartition("/")[2]], "content": [archive.read(path)]})
 
-    return collision_names(books.select("doc_id", "content").mapInPandas(run, "doc_id string, path string, name string, content binary"))
+    return collision_names(books.select("doc_id", "content").mapInPandas(run, "doc_id string, ord long, path string, name string, content binary")).drop("ord")
 
 
 def image_names(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from quire.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"html_to_markdown", "page_pipeline_markdown", "stream_ingest"}
+PYTHON = {"collision_names", "html_to_markdown", "page_pipeline_markdown", "stream_ingest"}
 
 
 def plan(df):

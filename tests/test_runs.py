@@ -72,7 +72,7 @@ def test_run_and_resume(spark, tmp_path):
     assert sorted((r["page_id"], r["status"]) for r in kept.collect()) == [("a", "ok"), ("b", "error"), ("c", "fallback"), ("d", "error"), ("e", "ok")]
     order_ = spark.createDataFrame([("book", p, i) for i, p in enumerate("cabdex")], "doc_id string, page_id string, ord int")
     book = runs.books(spark, config, order_, parts).first()
-    assert book["markdown"].startswith("# OCR Book\n\n<!-- Generated by paddleocrvl -->\n")
+    assert book["markdown"].startswith("# OCR Book\n\n<!-- Generated with paddleocrvl -->\n")
     assert [book["markdown"].index(f"Page {p}") for p in "cabde"] == sorted(book["markdown"].index(f"Page {p}") for p in "cabde")
     assert "<!-- Page a (p. 12) -->\n\ncondition\n" in book["markdown"] and "<!-- Page b — ERROR: broken page -->" in book["markdown"]
     assert (book["n_pages"], book["n_errors"]) == (5, 2)
@@ -127,6 +127,15 @@ def test_epub(spark):
     assert [(r["name"], r["content"]) for r in epub.svg_files(clean).collect()] == [("inline_svg_001.svg", "<svg>\n</svg>")]
 
 
+def test_names_that_clash_with_numbered_ones(spark):
+    names = ["x.png", "x.png", "x_1.png", "x.png", "x_1.png", ".png", ".png"]
+    rows = spark.createDataFrame([(d, f"{i}/{n}", n, 10 - i) for d in "de" for i, n in enumerate(names)], "doc_id string, path string, name string, ord int")
+    by_path = figures.collision_names(rows.drop("ord")).where("doc_id = 'd'").orderBy("path").collect()
+    assert [r["saved"] for r in by_path] == ["x.png", "x_1.png", "x_1_1.png", "x_2.png", "x_1_2.png", ".png", ".png_1"]
+    by_place = figures.collision_names(rows).where("doc_id = 'e'").orderBy("ord").collect()
+    assert [r["saved"] for r in by_place] == [".png", ".png_1", "x_1.png", "x.png", "x_1_1.png", "x_2.png", "x_3.png"]
+
+
 def test_figures(spark, tmp_path):
     root = make(tmp_path, ["out/p1/imgs/a.png", "out/p2/imgs/a.png", "out/p2/imgs/b.png", "out/p3/imgs/c.png", "vault/F/c.png"])
     config = Config(figures_dir=f"{root}/out", vault_root=f"{root}/vault", vault_figures_dir="F")
