@@ -6,10 +6,10 @@ which at least one must then occur unchanged, so an Aho-Corasick automaton over
 place where an item can be; hits of one item whose windows overlap are looked at once, and Myers' bit-parallel distance
 settles each window.  All of each text is searched.
 
-Items go to the tasks in blocks of a bounded number of characters, one search of the documents
-per block.  Items with fewer than MIN_PIECE characters have no piece and match nothing; k is lowered where pieces would be
-shorter than that.  Null and empty texts match nothing; null ids stay; equal items are each reported; repeated documents
-give repeated rows.  An empty table gives no rows.
+Items too short for an edit (below 1 / ERROR_RATE characters) must occur as they are, as whole words.  Items go to the tasks in blocks of a
+bounded number of characters: one search of the documents per block, one block after another, so that neither a task nor the driver
+holds more than a block.  Items without a letter or digit match nothing.  Null and empty texts match nothing; null ids stay; equal items are each
+reported; repeated documents give repeated rows.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from quire.llm import _base
 
 ERROR_RATE = 0.08
-MIN_PIECE = 10
-#: Characters of items that a task holds at a time.
-BLOCK_CHARS = 16 << 20
+#: Characters of items that a task holds at a time; with their pieces and masks each takes some 60 bytes.
+BLOCK_CHARS = 2 << 20
 
 _BREAKS = re.compile(r"[\W_]+")
 
@@ -61,7 +60,7 @@ def least_distance(pattern: str, masks: dict[str, int], text: str, most: int) ->
 
 
 class Searcher:
-    def __init__(self, items: list[tuple], error_rate: float = ERROR_RATE, min_piece: int = MIN_PIECE):
+    def __init__(self, items: list[tuple], error_rate: float = ERROR_RATE):
         """items: (item_id, text)."""
         import ahocorasick
 
@@ -70,9 +69,9 @@ class Searcher:
             same.setdefault(normal(text), []).append(name)
         self.items, pieces = [], {}
         for text, names in same.items():
-            if len(text) < min_piece:
+            if not text:
                 continue
-            k = max(0, min(int(len(text) * error_rate), len(text) // min_piece - 1))
+            k = min(int(len(text) * error_rate), len(text) - 1)
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -94,6 +93,8 @@ class Searcher:
         for last, places in self.pieces.iter(text):
             for item, piece_end in places:
                 _, pattern, _, k = self.items[item]
+                if not k and (last + 1 - len(pattern) > 0 and text[last - len(pattern)] != " " or text[last + 1 : last + 2] not in ("", " ")):
+                    continue  # a part of a longer word
                 start = last + 1 - piece_end - k
                 end = last + 1 - piece_end + len(pattern) + k
                 mine = windows.setdefault(item, [])
@@ -114,13 +115,13 @@ class Searcher:
         return out
 
 
-def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
-    """(item_id as text, text) of all items, some block_chars at a time."""
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple], bool]]:
+    """(item_id as text, text) of all items, some block_chars at a time, and whether these are the last."""
     items = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-chars // block_chars)
     for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()], b + 1 == n
 
 
 class _Block:
@@ -154,7 +155,7 @@ def _clean(shared):
     return run
 
 
-def occurrences(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget, end_char: the best occurrence of each item in each document that holds it.
 
     end_char counts characters of the normal form.  docs: doc_id, text; items: item_id, text.
@@ -162,19 +163,26 @@ def occurrences(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RAT
     spark, kind, of = docs.sparkSession, docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
     named = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found = None
-    for block in _blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(_Block(block, error_rate, min_piece))
+    for block, last in _blocks(items, block_chars):
+        shared = spark.sparkContext.broadcast(_Block(block, error_rate))
         part = named.mapInPandas(_find(shared), "doc_id string, item_id string, distance int, budget int, end_char long")
+        if not last:
+            part = _base.cut(part)
+            shared.unpersist()
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "doc_id string, item_id string, distance int, budget int, end_char long")
     return found.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("item_id", F.col("item_id").cast(of))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
-    for block in _blocks(items, block_chars):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(_Block(block, error_rate, min_piece)))("text"))
+    for block, last in _blocks(items, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(_Block(block, error_rate))
+        docs = docs.where(_clean(shared)("text"))
+        if not last:
+            docs = _base.cut(docs)
+            shared.unpersist()
     return docs
 
 
