@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.llm import _base
 
+HOT_SHARE = 2_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of links (a, b): root is the smallest vertex of its component.
@@ -34,9 +36,17 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _to_least(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    return links.join(least, "a").select("a", "b", F.least("a", "m").alias("m"))
+def _to_least(links: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Links with m, the smallest neighbour of a; a vertex with a great share of all links is looked up where its links are."""
+    least = _base.cut(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = least.where(F.col("n") * hot_share > total).select("a", "m")  # fewer than hot_share
+    if total <= hot_share or hot.isEmpty():
+        found = links.join(least.select("a", "m"), "a")
+    else:
+        rest = links.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(F.col("n") * hot_share <= total).select("a", "m"), "a")
+        found = links.join(F.broadcast(hot), "a").select("a", "b", "m").union(rest.select("a", "b", "m"))
+    return found.select("a", "b", F.least("a", "m").alias("m"))
 
 
 def _state(links: DataFrame) -> tuple[int, int]:

@@ -86,7 +86,7 @@ def _units(vectors):
 
 
 def _hash(batches) -> Iterator:
-    """Classes with codes: by table and hash the three likeliest vertices (-1 where there are fewer), as 32-bit integers."""
+    """Classes with codes: by table and hash the three likeliest vertices (-1 where there are fewer), as 16-bit integers where those suffice, else 32-bit ones."""
     import numpy as np
 
     for batch in batches:
@@ -97,6 +97,7 @@ def _hash(batches) -> Iterator:
                 for part in range(2):
                     got = ranked(x, table, part, 3)
                     codes[:, table, part, : got.shape[1]] = got
+            codes = codes.astype("<i2") if x.shape[1] <= 1 << 13 else codes
             yield rows.assign(codes=[c.tobytes() for c in codes])
 
 
@@ -105,18 +106,20 @@ def _probe(batches) -> Iterator:
     import numpy as np
 
     for batch in batches:
-        codes = _codes(batch["codes"]).astype(np.int64)
-        for table in range(TABLES):
-            for i, j in PROBES:
-                a, b = codes[:, table, 0, i], codes[:, table, 1, j]
-                some = (a >= 0) & (b >= 0)
-                yield pd.DataFrame({"cls": batch["cls"][some], "dim": batch["dim"][some], "tbl": np.int32(table), "bucket": (a << 24 | b)[some], "own": np.int32(i + j == 0)})
+        for _, rows in batch.groupby("dim"):
+            codes = _codes(rows["codes"])
+            for table in range(TABLES):
+                for i, j in PROBES:
+                    a, b = codes[:, table, 0, i], codes[:, table, 1, j]
+                    some = (a >= 0) & (b >= 0)
+                    yield pd.DataFrame({"cls": rows["cls"][some], "dim": rows["dim"][some], "tbl": np.int32(table), "bucket": (a << 24 | b)[some], "own": np.int32(i + j == 0)})
 
 
 def _codes(column):
     import numpy as np
 
-    return np.frombuffer(b"".join(column), "<i4").reshape(len(column), TABLES, 2, 3)
+    kind = f"<i{len(column.iloc[0]) // (TABLES * 6)}"  # rows of one length of vectors
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), TABLES, 2, 3).astype(np.int64)
 
 
 def _reaches(x, y):
@@ -207,9 +210,10 @@ def _verify(limit: float):
 
 
 def link(classes: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
-    """classes: cls (distinct, a long), n (copies), vector.  (cls, others), the number of rows linked to it outside its class; and links (a, b) that join what all links join."""
+    """classes: cls (distinct, a long), n (copies), vector (of floats or doubles).  (cls, others), the number of rows linked to it outside its class; and links (a, b) that join what all links join."""
     classes = classes.select("cls", "n", F.size("vector").alias("dim"), "vector")
-    hashed = _base.cut(classes.mapInPandas(_hash, "cls long, n long, dim int, vector array<double>, codes binary"))
+    kind = classes.schema["vector"].dataType.simpleString()
+    hashed = _base.cut(classes.mapInPandas(_hash, f"cls long, n long, dim int, vector {kind}, codes binary"))
     probes = hashed.select("cls", "dim", "codes").mapInPandas(_probe, "cls long, dim int, tbl int, bucket long, own int")
     probes = _base.cut(probes)
     bucket = ["dim", "tbl", "bucket"]
@@ -228,9 +232,11 @@ def link(classes: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -
 
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, part_rows: int = PART_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept.  vectors: vec_id, embedding."""
-    vector = F.col("embedding").cast("array<double>")
+    # floats travel as floats; cosines are of doubles
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    vector = F.col("embedding").cast(f"array<{kind}>")
     # -0.0 and 0.0 are one value
-    rows = vectors.select("vec_id", F.when(_usable(vector), F.transform(vector, lambda c: c + F.lit(0.0))).alias("vector"))
+    rows = vectors.select("vec_id", F.when(_usable(vector), F.transform(vector, lambda c: (c + F.lit(0.0)).cast(kind))).alias("vector"))
     same = F.struct(F.xxhash64("vector").alias("h"), F.md5(F.concat_ws(",", F.transform("vector", lambda c: c.cast("string")))).alias("m"))
     keyed = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), same).alias("same"))
     classes = keyed.where("same is not null").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
