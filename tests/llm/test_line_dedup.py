@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from quire.llm import line_dedup
 
@@ -14,13 +15,17 @@ def test_query_equals_sql(spark):
     assert sum(r[1] for r in got) > 0
 
 
-def test_hostile_rows(spark):
+@pytest.mark.parametrize("ways", [{}, {"broadcast": 0}, {"broadcast": 0, "hot_share": 1}])
+def test_hostile_rows(spark, ways):
     shared = "the same footer is on all of the sites"
     two = "this line is on no more than two sites, often"
-    docs = [(i, f"own text number {i} of this test\n  {shared}  \nshort\n{two if i % 5 < 2 else ''}", f"s{i % 5}") for i in range(40)]
+    ends = ["", " ", "\t", "\r", "\x0b\x0c "]
+    docs = [(i, f"own text number {i} of this test\n  {shared}{ends[i % 5]}\nshort\n{two if i % 5 < 2 else ''}", f"s{i % 5}") for i in range(40)]
+    copied = "a text that was copied\nto all of the sites as it is"
+    docs += [(200 + i, copied, f"s{i % 5}") for i in range(30)]
     docs += [(100, None, "s1"), (101, "", "s1"), (102, shared, None), (103, f"{shared}\n{shared}", "s0"), (103, f"{shared}\n{shared}", "s0"), (None, f"x\n{shared}", "s2"), (104, "long " * 50_000, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as key", "2 as sites", "3 as lines_removed", "4 as line")
-    out = line_dedup.remove_boilerplate(df, min_sites=3)
+    out = line_dedup.remove_boilerplate(df, min_sites=3, **ways)
     assert out.columns == ["doc_id", "text", "source", "key", "sites", "line", "lines_removed"]
     rows = out.collect()
     assert len(rows) == len(docs)
@@ -28,14 +33,21 @@ def test_hostile_rows(spark):
     for r in rows:
         by.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"]))
     assert by[0] == [(f"own text number 0 of this test\nshort\n{two}", 1)]
-    assert by[100] == [(None, 0)] and by[101] == [("", 0)] and by[102] == [(shared, 0)]
-    assert by[103] == [(f"{shared}\n{shared}", 0)] * 2 and by[None] == [(f"x\n{shared}", 0)] and by[104] == [("long " * 50_000, 0)]
+    assert by[100] == [(None, 0)] and by[101] == [("", 0)] and by[102] == [("", 1)]
+    assert by[103] == [("", 2)] * 2 and by[None] == [("x", 1)] and by[207] == [(copied, 0)] and by[104] == [("long " * 50_000, 0)]
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
 def test_exact_counts_near_the_threshold(spark):
     """Sketches of many sites are off by a few; lines just below and at the threshold still part exactly."""
-    docs = [(k, "this line is on four thousand sites", f"s{k}") for k in range(4000)] + [(k, "this line is on one site less", f"s{k}") for k in range(3999)]
+    docs = [(k, f"this line is on four thousand sites\n{k}", f"s{k}") for k in range(4000)] + [(k, f"this line is on one site less\n{k}", f"s{k}") for k in range(3999)]
+    docs += [(k, f"this line is in one text less\n{min(k, 3998)}", f"s{k}") for k in range(4000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     found = line_dedup.boilerplate(df, min_sites=4000).collect()
-    assert [r["sites"] for r in found] == [4000]
+    assert [(r["sites"], r["texts"]) for r in found] == [(4000, 4000)]
+
+
+def test_short_pages_lose_their_footer(spark):
+    docs = [(i, f"w{i}\nthe same footer is on all of the sites", f"s{i}") for i in range(18)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["lines_removed"]) for r in out) == [(i, f"w{i}", 1) for i in range(18)]

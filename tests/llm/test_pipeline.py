@@ -20,10 +20,11 @@ def test_stages_against_brute_force(spark):
     sites = {}
     for r in b.values():
         for line in r["text"].split("\n"):
-            sites.setdefault(line.strip(" "), set()).add(r["source"])
-    shared = {x for x, s in sites.items() if len(x) >= line_dedup.MIN_CHARS and len(s) >= line_dedup.MIN_SITES}
-    cut = {i: "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in shared) for i, r in b.items()}
-    assert {i: r["text"] for i, r in c.items()} == {i: cut[i] if 2 * len(cut[i]) >= len(r["text"]) else r["text"] for i, r in b.items()}
+            x = sites.setdefault(line.strip(" \t\x0b\x0c\r"), (set(), set()))
+            x[0].add(r["source"])
+            x[1].add(r["text"])
+    shared = {x for x, s in sites.items() if len(x) >= line_dedup.MIN_CHARS and min(map(len, s)) >= line_dedup.MIN_SITES}
+    assert {i: r["text"] for i, r in c.items()} == {i: "\n".join(x for x in r["text"].split("\n") if x.strip(" \t\x0b\x0c\r") not in shared) for i, r in b.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in c.values())
     groups = plain_components({i: plain_fingerprint(r["text"]) for i, r in c.items()})
     assert set(d) == set(groups.values()) and all(d[i] == c[i] for i in d)
