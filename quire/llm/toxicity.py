@@ -3,14 +3,15 @@
 Features are the distinct hashed 3- to 5-grams of the whole lower-cased text, at unit length.  Each is
 scaled by the logarithm of its smoothed share among toxic rows over that among the others; a
 logistic regression with an L2 penalty is fitted on top.  The scale and the weights fold into one
-number per feature, so a text is scored by adding up numbers.
+number per feature, so a text is scored by adding up numbers.  Fits that each leave out one of FOLDS parts of the rows tell where to cut: on the rows that
+they left out, the share of toxic rows found above that of clean rows is the largest, and MOST_CLEAN of the clean rows at most are hit.
 
 Learning uses a bounded sample of labelled rows, drawn by a hash of doc_id: at most `learn_toxic`
 toxic and `learn_clean` clean ones.  Scoring covers all of every text.
 
 Null and empty texts have no feature and get the score of the bias alone.  Without labelled rows of both kinds
 all texts get the smoothed share of toxic rows, a quarter if there are none.  Rows with null labels teach nothing; a doc_id labelled more than
-once counts as toxic if one label says so.  Null doc_ids are scored, and count as held out.  Repeated rows stay.
+once counts as toxic if one label says so; of texts with the same doc_id the one with the least hash is learned from.  Null doc_ids are scored, and count as held out.  Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BITS = 18
 SIZES = (3, 4, 5)
 LEARN_TOXIC, LEARN_CLEAN = 1200, 2800
 PENALTY, ROUNDS = 1e-4, 100
+#: Share of clean rows that may count as toxic where the cut is set, and parts of the rows.
+MOST_CLEAN, FOLDS = 0.01, 4
 CHARS = 1 << 20
 #: Features of rows that a pass works on at a time.
 BLOCK = 1 << 20
@@ -96,12 +99,27 @@ class Classifier:
             bias -= 0.05 * (m_bias / a) / (np.sqrt(v_bias / b) + 1e-8)
         return cls(weights * ratio, float(bias))
 
+    def margin(self, f) -> float:
+        return float(self.weights[f].sum()) / max(len(f), 1) ** 0.5 + self.bias
+
     def score(self, text: str | None) -> float:
         import math
 
-        f = features(text)
-        z = float(self.weights[f].sum()) / math.sqrt(max(len(f), 1)) + self.bias
-        return 1 / (1 + math.exp(-max(min(z, 500.0), -500.0)))
+        return 1 / (1 + math.exp(-max(min(self.margin(features(text)), 500.0), -500.0)))
+
+
+def cut(margins, toxic, most_clean: float = MOST_CLEAN) -> float:
+    """The margin from which rows count as toxic; 0 where nothing tells."""
+    import numpy as np
+
+    margins, toxic = np.asarray(margins, dtype=np.float64), np.asarray(toxic, dtype=bool)
+    if toxic.all() or not toxic.any():
+        return 0.0
+    cuts = np.unique(margins)
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
+    hits, wrong = (1 - np.searchsorted(np.sort(margins[k]), cuts) / k.sum() for k in (toxic, ~toxic))
+    sound = np.flatnonzero(wrong <= most_clean)
+    return float(cuts[sound[np.argmax((hits - wrong)[sound])]])
 
 
 def held_out():
@@ -121,17 +139,28 @@ def learn(docs: DataFrame, labels: DataFrame, learn_toxic: int = LEARN_TOXIC, le
         return text.map(lambda t: features(t).astype("<i4").tobytes())
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.select("doc_id", (F.col("toxic") > 0).alias("toxic"), found("text").alias("f")).limit(learn_toxic + learn_clean)
-
-    def fit(batches):
-        drawn = [x for batch in batches for x in zip(batch["doc_id"], batch["f"], batch["toxic"], strict=True)]
-        drawn.sort(key=lambda r: r[:2])  # the fit doesn't depend on how rows arrive
-        model = Classifier.fit([(np.frombuffer(f, "<i4"), int(toxic)) for _, f, toxic in drawn])
-        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
-
-    # one task has all of the bounded sample; an executor has more room than the driver
-    weights, bias = rows.repartition(1).mapInPandas(fit, "weights binary, bias double").first() or (bytes(8 << BITS), Classifier.fit([]).bias)
-    return Classifier(np.frombuffer(weights, "<f8"), bias)
+    rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one text of each doc_id
+    rows = rows.select("doc_id", "toxic", found("text").alias("f"))
+
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+
+    def fit(group):
+        """A fit without the rows of a fold, of which it gives the margins; no row has fold FOLDS."""
+        group = group.sort_values("doc_id")  # the fit doesn't depend on how rows arrive
+        every = [(np.frombuffer(f, "<i4"), int(toxic)) for f, toxic in zip(group["f"], group["toxic"], strict=True)]
+        apart = (group["fold"] == group["without"]).tolist()
+        model = Classifier.fit([r for r, out in zip(every, apart, strict=True) if not out])
+        left = [r for r, out in zip(every, apart, strict=True) if out]
+        whole = not left and group["without"].iloc[0] == FOLDS
+        return pd.DataFrame({"weights": [model.weights.tobytes() if whole else None], "bias": [model.bias], "margins": [[model.margin(f) for f, _ in left]], "toxic": [[y > 0 for _, y in left]]})
+
+    # a task has all of the bounded sample; an executor has more room than the driver
+    fits = rows.groupBy("without").applyInPandas(fit, "weights binary, bias double, margins array<double>, toxic array<boolean>").collect()  # FOLDS + 1 rows
+    whole = next((r for r in fits if r["weights"] is not None), None)
+    if whole is None:
+        return Classifier(np.zeros(1 << BITS), Classifier.fit([]).bias)
+    bias = whole["bias"] - cut([x for r in fits for x in r["margins"]], [x for r in fits for x in r["toxic"]])
+    return Classifier(np.frombuffer(whole["weights"], "<f8"), bias)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
