@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 
@@ -45,6 +47,8 @@ class Config:
             raise ValueError(f"unknown method: {self.extraction_method}")
 
 
+#: Settings that the environment can give, by field.
+VARIABLES = {"vault_root": "OCR_OBSIDIAN_VAULT_ROOT", "vault_path": "OCR_OBSIDIAN_VAULT_PATH", "vault_figures_dir": "OCR_OBSIDIAN_VAULT_FIGURES_DIR", "n_parallel": "OCR_N_PARALLEL", "page_timeout": "OCR_PAGE_TIMEOUT"}
 TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
 
 
@@ -60,3 +64,14 @@ def parse_bool(value: str | None) -> bool | None:
 
 def parse_int(value: str | None, default: int | None = None) -> int | None:
     return default if value is None or not value.strip() else int(value)
+
+
+def from_environment(variables: Mapping[str, str] | None = None) -> dict:
+    """Settings that the environment gives, by field; those that are blank stay out."""
+    variables = os.environ if variables is None else variables
+    found = {}
+    for field, name in VARIABLES.items():
+        value = variables.get(name, "")
+        if value.strip():
+            found[field] = int(value) if field in ("n_parallel", "page_timeout") else value
+    return found

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import logging
+import os
 import sys
+import time
+from dataclasses import replace
 
-from quire.config import Config
+from quire.config import Config, from_environment
+
+logger = logging.getLogger(__name__)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,15 +36,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--migrate", action="store_true")
     p.add_argument("--vault-root")
+    p.add_argument("--vault-path", help="the books' folder in the vault")
     p.add_argument("--vault-figures-dir")
+    p.add_argument("--report", help="the run report's file")
+    p.add_argument("--log", help="the log's file")
     p.add_argument("--header-pattern", nargs=2, action="append", metavar=("RE", "LEVEL"), default=[])
     return p
 
 
 def to_config(args: argparse.Namespace) -> Config:
-    given = {"images_dir": args.images, "output_file": args.out, "extraction_method": args.method, "vault_root": args.vault_root, "vault_figures_dir": args.vault_figures_dir}
+    given = {"images_dir": args.images, "output_file": args.out, "extraction_method": args.method, "vault_root": args.vault_root, "vault_path": args.vault_path}
+    given |= {"vault_figures_dir": args.vault_figures_dir, "report_file": args.report, "log_file": args.log}
     return Config(
-        **{k: v for k, v in given.items() if v is not None},
+        **(from_environment() | {k: v for k, v in given.items() if v is not None}),
         mode=args.mode,
         rename_prefix=args.rename_prefix,
         resume=not args.no_resume,
@@ -50,61 +60,119 @@ def to_config(args: argparse.Namespace) -> Config:
     )
 
 
+def _logging(config: Config) -> None:
+    """Messages to the console, all of them to the log's file."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    handlers[0].setLevel(logging.DEBUG if config.verbose else logging.INFO)
+    if config.log_file:
+        os.makedirs(os.path.dirname(config.log_file) or ".", exist_ok=True)
+        handlers.append(logging.FileHandler(config.log_file, encoding="utf-8"))
+    own = logging.getLogger("quire")
+    for old in own.handlers[:]:
+        own.removeHandler(old)
+        old.close()
+    own.setLevel(logging.DEBUG)
+    own.propagate = False
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s  %(levelname)-8s  %(message)s", "%H:%M:%S"))
+        own.addHandler(h)
+
+
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: wrong input; 2: done, but pages failed; 130: interrupted."""
     args = parser().parse_args(argv)
     try:
-        from pyspark.sql import SparkSession
-        from pyspark.sql import functions as F
+        from quire.sources.files import SourceError
 
-        from quire.operators.order import kind_gate
-        from quire.plans import runs
-        from quire.sources import files
-
-        config, spark = to_config(args), SparkSession.builder.appName("quire").getOrCreate()
-        if args.migrate:
-            print(runs.migrate(spark, config, dry_run=args.dry_run), "file(s)")
-            return 0
-        if args.postprocess_only:
-            for r in runs.postprocess_only(spark, config, config.output_file).toLocalIterator():
-                with open(files.local(r["doc_id"]).replace("///", "/"), "w", encoding="utf-8", newline="\n") as out:
-                    out.write(r["markdown"])
-            return 0
-        if args.rename or args.rename_only is not None:
-            start = args.rename_only or 1
-            if files.listing(spark, config.images_dir, config.extensions).isEmpty():
-                plan = files.subfolder_plan(spark, config.images_dir, config.extensions, args.chapters, config.rename_prefix, start, args.dir_level)
-                files.apply_plan(plan, config.images_dir, dry_run=args.dry_run)
-            else:
-                files.apply_plan(files.rename_plan(spark, config.images_dir, config.extensions, config.rename_prefix, start), config.images_dir, move=True, dry_run=args.dry_run)
-            if args.rename_only is not None or args.dry_run:
-                return 0
-        if not args.extractor:
-            raise ValueError("name an extractor: --extractor MODULE:NAME")
-        module, _, name = args.extractor.partition(":")
-        make = getattr(importlib.import_module(module), name)
-        sources = files.collect_sources(spark, config.images_dir, config.extensions)
-        for r in kind_gate(sources).collect():
-            if r["problem"]:
-                print(f"{r['problem']}: {', '.join(r['preview'])}", file=sys.stderr)
-                return 1
-        content = spark.read.format("binaryFile").load(config.images_dir).select("path", "content")
-        rows = sources.join(content, "path").withColumn("doc_id", F.lit("book"))
-        parts = config.output_file.rpartition("/")[0] + "/parts"
-        metrics = runs.recognise(spark, config, rows, make, parts)
-        failed = metrics.where("error").count()
-        if failed and failed == spark.read.parquet(parts).count():
-            return 2  # nothing but errors: no book
-        pages = spark.read.parquet(parts).select("doc_id", "page_id", "ord")
-        for r in runs.books(spark, config, pages, parts).toLocalIterator():
-            files.write_book(r["markdown"], config.output_file)
-        return 2 if failed else 0
-    except (files.SourceError, ValueError) as e:
+        config = to_config(args)
+        _logging(config)
+        try:
+            return _run(args, config)
+        except (SourceError, ValueError) as e:
+            logger.error("%s", e)
+            return 1
+    except ValueError as e:
         print(e, file=sys.stderr)
         return 1
     except KeyboardInterrupt:
         return 130
 
 
+def _run(args: argparse.Namespace, config: Config) -> int:
+    from pyspark.sql import SparkSession
+
+    from quire.plans import runs
+
+    if config.mode == "obsidian" or args.migrate:
+        if not (config.vault_root and config.vault_path and config.vault_figures_dir):
+            raise ValueError("the vault's root, its books folder and its figures folder are needed")
+        if not args.migrate:
+            config = replace(config, output_file=os.path.join(config.vault_root, config.vault_path, os.path.basename(config.output_file)))
+    if args.postprocess_only and config.mode != "obsidian":
+        raise ValueError("--postprocess-only goes with --mode obsidian")
+    spark = SparkSession.builder.appName("quire").getOrCreate()
+    if args.migrate:
+        logger.info("%d file(s)", runs.migrate(spark, config, dry_run=args.dry_run))
+        return 0
+    if args.postprocess_only:
+        for r in runs.postprocess_only(spark, config, config.output_file).toLocalIterator():
+            with open(config.output_file, "w", encoding="utf-8", newline="\n") as out:
+                out.write(r["markdown"])
+        runs.migrate(spark, config)
+        return 0
+    if args.rename or args.rename_only is not None:
+        _rename(spark, args, config)
+        if args.rename_only is not None or args.dry_run:
+            return 0
+    return _book(spark, args, config)
+
+
+def _rename(spark, args: argparse.Namespace, config: Config) -> None:
+    from quire.sources import files
+
+    start = 1 if args.rename_only is None else args.rename_only
+    if args.chapters or files.has_images_below(spark, config.images_dir, config.extensions):
+        plan = files.subfolder_plan(spark, config.images_dir, config.extensions, args.chapters, config.rename_prefix, start, args.dir_level)
+        files.apply_plan(plan, config.images_dir, dry_run=args.dry_run)
+    else:
+        files.apply_plan(files.rename_plan(spark, config.images_dir, config.extensions, config.rename_prefix, start), config.images_dir, move=True, dry_run=args.dry_run)
+
+
+def _book(spark, args: argparse.Namespace, config: Config) -> int:
+    from pyspark.sql import functions as F
+
+    from quire.operators.order import kind_gate
+    from quire.plans import runs
+    from quire.sources import extract, files
+
+    began = time.time()
+    sources = files.collect_sources(spark, config.images_dir, config.extensions)
+    for r in kind_gate(sources).collect():
+        if r["problem"]:
+            raise files.SourceError(f"{r['problem']}: {', '.join(r['preview'])}")
+        if r["kind"] == "epub":
+            runs.write_epub(spark, config, sources.first()["path"])
+            return 0
+    if not args.extractor:
+        raise ValueError("name an extractor: --extractor MODULE:NAME")
+    module, _, name = args.extractor.partition(":")
+    make = getattr(importlib.import_module(module), name)
+    content = spark.read.format("binaryFile").load(config.images_dir).select("path", "content")
+    rows = sources.join(content, "path").withColumn("doc_id", F.lit("book"))
+    parts = (os.path.dirname(config.output_file) or ".") + "/parts"
+    pages = extract.page_list(rows, make).select("doc_id", "page_id", "ord")
+    before = files.read_parts(spark, parts) if config.resume else None
+    skipped = 0 if before is None else pages.join(before.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_semi").count()
+    metrics = runs.recognise(spark, config, rows, make, parts)
+    failed, done = metrics.where("error").count(), metrics.where("not error").count()
+    if done or skipped:  # else there is no book
+        for r in runs.books(spark, config, pages, parts).toLocalIterator():
+            config = replace(config, output_file=files.write_book(r["markdown"], config.output_file))
+    runs.write_report(metrics, config, pages.count(), skipped, args.extractor, time.time() - began)
+    if config.mode == "obsidian":
+        runs.migrate(spark, config, page_ids=pages)
+    return 2 if failed else 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import time
 import uuid
 from collections.abc import Callable
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import Config
+from quire.functions import markup
 from quire.operators import figures, pages, stats
 from quire.sources import epub, extract, files
 
@@ -20,29 +24,71 @@ def page_metrics(raw: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("page_id").alias("name"), "ord", F.lit(0.0).alias("t_pre"), "t_ocr", F.lit(0.0).alias("t_post"), F.col("t_ocr").alias("total"), "chars", F.lit(False).alias("looped"), "no_layout", (F.col("status") == "error").alias("error"))
 
 
-def recognise(spark: SparkSession, config: Config, sources: DataFrame, make: Callable[[], extract.Extractor], parts_folder: str, native: bool = False) -> DataFrame:
+def recognise(spark: SparkSession, config: Config, sources: DataFrame, make: Callable[[], extract.Extractor], parts_folder: str) -> DataFrame:
     """Reads the pages that have no part yet, writes their parts, and gives their metrics.
 
-    sources: doc_id, path, stem, kind, ord, content.
+    sources: doc_id, path, stem, kind, ord, content.  With the method `text` (or `docling`, whose library plugs in as an
+    extractor) PDFs that hold text are read as they are; images, and PDFs of images, are recognised.
     """
-    done = None
-    if config.resume:
-        try:
-            done = spark.read.parquet(parts_folder).select("doc_id", "page_id")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    # raw texts are dear, and the parts that say which are to be read change below: they go to a table first
+    parts = files.read_parts(spark, parts_folder) if config.resume else None
+    done = None if parts is None else parts.select("doc_id", "page_id")
+    native = None
+    if config.extraction_method != "paddleocrvl" and not config.pdf_force_ocr:
+        classes = extract.pdf_classes(sources, make)
+        method = extract.resolve_method(F.lit(config.extraction_method), F.col("class"))
+        native = classes.where(method != "paddleocrvl").select("doc_id")
     folder = f"{parts_folder.rstrip('/')}-raw/{uuid.uuid4().hex}"
-    extract.extract_pages(sources, make, done, config.use_layout_detection).write.parquet(folder)
-    raw = spark.read.parquet(folder)
-    parts = pages.text_parts(raw) if native else pages.page_parts(raw, config)
-    files.write_parts(parts, parts_folder)
-    return page_metrics(raw, parts)
+
+    def read(rows: DataFrame, make: Callable[[], extract.Extractor], name: str) -> DataFrame:
+        # raw texts are dear, and the parts that say which are to be read change below: they go to a table first
+        extract.extract_pages(rows, make, done, config.use_layout_detection, config.page_timeout).write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    images = sources if native is None else sources.join(F.broadcast(native), "doc_id", "left_anti")  # one row per document
+    raw = read(images, make, "recognised")
+    found = pages.page_parts(raw, config)
+    if native is not None:
+        texts = read(sources.join(F.broadcast(native), "doc_id", "left_semi"), lambda: extract.Native(make), "native")
+        raw, found = raw.union(texts), found.union(pages.text_parts(texts))
+    found.write.parquet(f"{folder}/parts")
+    found = spark.read.parquet(f"{folder}/parts")
+    files.write_parts(found, parts_folder)
+    return page_metrics(raw, found)
 
 
 def books(spark: SparkSession, config: Config, page_list: DataFrame, parts_folder: str) -> DataFrame:
-    return pages.assemble(page_list, spark.read.parquet(parts_folder), config.extraction_method, config.header_patterns)
+    return pages.assemble(page_list, files.read_parts(spark, parts_folder), config.extraction_method, config.header_patterns)
+
+
+def write_report(metrics: DataFrame, config: Config, total: int, skipped: int, model: str, elapsed_s: float, load_s: float = 0.0) -> None:
+    """The run's report, line by line, into config.report_file."""
+    facts = {"Date": time.strftime("%Y-%m-%d %H:%M:%S"), "Model": model, "Layout detection": str(config.use_layout_detection), "Output": f"`{config.output_file}`"}
+    lines = stats.report(metrics, total=total, skipped=skipped, title="OCR Run Report", facts=facts, load_s=load_s, elapsed_s=elapsed_s)
+    os.makedirs(os.path.dirname(config.report_file) or ".", exist_ok=True)
+    with open(config.report_file, "w", encoding="utf-8", newline="\n") as out:
+        for r in lines.orderBy("part", "ord").toLocalIterator():
+            out.write(r["line"] + "\n")
+
+
+def write_epub(spark: SparkSession, config: Config, path: str) -> None:
+    """The book of one archive, over whatever is there, with its images and drawings in the figures' folder, which is emptied first."""
+    archive = spark.read.format("binaryFile").load(path).select(F.lit("book").alias("doc_id"), "content")
+    found = epub.images(archive)
+    book = epub.clean_books(epub.texts(archive), found)
+    shutil.rmtree(config.figures_dir, ignore_errors=True)
+    os.makedirs(config.figures_dir)
+    for rows in (found.select(F.col("saved").alias("name"), "content"), epub.svg_files(book).select("name", F.encode("content", "utf-8").alias("content"))):
+        for r in rows.toLocalIterator():
+            with open(os.path.join(config.figures_dir, r["name"]), "wb") as out:
+                out.write(r["content"])
+    text = F.col("markdown")
+    if config.mode == "obsidian":
+        text = markup.wikilinks_markdown(text, config.vault_figures_dir)
+    os.makedirs(os.path.dirname(config.output_file) or ".", exist_ok=True)
+    with open(config.output_file, "w", encoding="utf-8", newline="\n") as out:
+        out.write(book.select(text.alias("markdown")).first()["markdown"])
+    if config.mode == "obsidian":
+        migrate(spark, config, flat=True)
 
 
 def epub_books(archives: DataFrame) -> DataFrame:

@@ -576,6 +576,7 @@ def stream_ingest(spark, sf_dir):
     import tempfile
     import uuid
 
+    from quire.sources import files
     from quire.streaming import ingest
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
@@ -584,4 +585,4 @@ def stream_ingest(spark, sf_dir):
     raw = raw.select("doc_id", "page_id", "ord", F.lit("s").alias("source"), F.lit("text").alias("method"), "raw_text", F.lit(0.5).alias("t_ocr"), "error", "no_layout")
     raw.write.parquet(f"{folder}/in")
     ingest.write_parts(ingest.page_stream(spark, f"{folder}/in"), Config(keep_html=True), f"{folder}/parts", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/parts").select("doc_id", "page_id", "chars", "status")
+    return files.read_parts(spark, f"{folder}/parts").select("doc_id", "page_id", "chars", "status")

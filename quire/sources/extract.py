@@ -34,6 +34,29 @@ class Extractor(Protocol):
     def text(self, path: str, content: bytes | None, page: int, layout: bool) -> str:
         """The raw text of a page, counted from 1."""
 
+    def native(self, path: str, content: bytes | None, page: int) -> str:
+        """The text that a PDF itself holds, where it does; only asked for PDFs."""
+
+    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes]]:
+        """Name and content of a native page's figures."""
+
+
+class Native:
+    """Reads PDFs by what they hold, with a tag for each figure."""
+
+    method, may_be_empty = "text", True
+
+    def __init__(self, make: Callable[[], Extractor]):
+        self.own = make()
+
+    def pages(self, path: str, content: bytes | None) -> int:
+        return self.own.pages(path, content)
+
+    def text(self, path: str, content: bytes | None, page: int, layout: bool) -> str:
+        text = self.own.native(path, content, page)
+        tags = [f'<img src="imgs/figure_{i}.png" />' for i in range(len(self.own.figures(path, content, page)))] if layout else []
+        return f"{text}\n\n" + "\n".join(tags) if tags else text
+
 
 class FakeExtractor:
     """Takes the file for text with form feeds between pages; words in it make it fail on purpose."""
@@ -51,19 +74,55 @@ class FakeExtractor:
             raise ExtractionError("broken page")
         return text
 
+    def native(self, path: str, content: bytes | None, page: int) -> str:
+        text = (content or b"").decode("utf-8", "replace").split("\f")[page - 1]
+        if "BROKEN" in text:
+            raise ExtractionError("broken page")
+        return text
+
+    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes]]:
+        return [("figure_0.png", b"png")] if "FIGURE" in self.native(path, content, page) else []
 
-def read_page(extractor: Extractor, path: str, content: bytes | None, page: int, layout: bool = True) -> tuple[str | None, str | None, bool]:
+
+def _in_time(read: Callable[[], str], seconds: float) -> str:
+    """What read() gives, or PageTimeout after so many seconds (0: none); a reader that hangs is left behind."""
+    import threading
+
+    if not seconds:
+        return read()
+    out: list = []
+
+    def run():
+        try:
+            out.append((read(), None))
+        except Exception as e:
+            out.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise PageTimeout(f"no result in {seconds:g} seconds")
+    if out[0][1]:
+        raise out[0][1]
+    return out[0][0]
+
+
+def read_page(extractor: Extractor, path: str, content: bytes | None, page: int, layout: bool = True, timeout: float = 0) -> tuple[str | None, str | None, bool]:
     """(text, error, no_layout): empty results are tried again, a timeout without layout; nothing is raised."""
     for attempt in range(ATTEMPTS):
         try:
-            text = extractor.text(path, content, page, layout).strip()
+            text = _in_time(lambda: extractor.text(path, content, page, layout), timeout)
+            if getattr(extractor, "may_be_empty", False):
+                return text, None, False
+            text = text.strip()
             if not text:
                 raise EmptyResult("empty result")
             return text, None, not layout
         except PageTimeout as e:
             if not layout:
                 return None, str(e), True
-            return read_page(extractor, path, content, page, layout=False)
+            return read_page(extractor, path, content, page, layout=False, timeout=timeout)
         except EmptyResult as e:
             if attempt + 1 == ATTEMPTS:
                 return None, str(e), not layout
@@ -72,12 +131,8 @@ def read_page(extractor: Extractor, path: str, content: bytes | None, page: int,
     return None, "no attempt", not layout
 
 
-def extract_pages(files: DataFrame, make: Callable[[], Extractor], done: DataFrame | None = None, layout: bool = True) -> DataFrame:
-    """pages_raw of files (doc_id, path, stem, kind, ord, content).  make() builds a task's extractor, once per worker.
-
-    done (doc_id, page_id): pages that are left out before any is read.
-    """
-    counted = files.select("doc_id", "path", "stem", "kind", "ord", "content")
+def page_list(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
+    """doc_id, path, page, page_id, ord of the pages of files (doc_id, path, stem, kind, ord, content)."""
 
     def count(batches):
         extractor = make()
@@ -85,12 +140,21 @@ def extract_pages(files: DataFrame, make: Callable[[], Extractor], done: DataFra
             batch["pages"] = [extractor.pages(p, c) if k != "image" else 1 for p, c, k in zip(batch["path"], batch["content"], batch["kind"], strict=True)]
             yield batch[["doc_id", "path", "pages"]]
 
-    pages = counted.mapInPandas(count, "doc_id string, path string, pages int")
-    named = counted.join(pages, ["doc_id", "path"]).withColumn("page", F.explode(F.sequence(F.lit(1), "pages")))
+    counted = files.select("doc_id", "path", "kind", "content").mapInPandas(count, "doc_id string, path string, pages int").where("pages > 0")
+    named = files.select("doc_id", "path", "stem", "kind", "ord").join(counted, ["doc_id", "path"]).withColumn("page", F.explode(F.sequence(F.lit(1), "pages")))
     named = named.withColumn("page_id", F.when(F.col("kind") == "image", F.col("stem")).otherwise(F.format_string("%s_p%03d", "stem", "page")))
-    named = named.withColumn("ord", F.when(F.col("kind") == "image", F.col("ord")).otherwise(F.col("page")).cast("int"))
+    return named.select("doc_id", "path", "page", "page_id", F.when(F.col("kind") == "image", F.col("ord")).otherwise(F.col("page")).cast("int").alias("ord"))
+
+
+def extract_pages(files: DataFrame, make: Callable[[], Extractor], done: DataFrame | None = None, layout: bool = True, timeout: float = 0) -> DataFrame:
+    """pages_raw of files (doc_id, path, stem, kind, ord, content).  make() builds a task's extractor, once per worker.
+
+    done (doc_id, page_id): pages that are left out before any is read.  timeout: seconds for a page; 0 for any number.
+    """
+    named = page_list(files, make)
     if done is not None:
         named = named.join(done.select("doc_id", "page_id").distinct(), ["doc_id", "page_id"], "left_anti")
+    named = named.join(files.select("doc_id", "path", "content"), ["doc_id", "path"])
 
     def read(batches):
         import time
@@ -100,7 +164,7 @@ def extract_pages(files: DataFrame, make: Callable[[], Extractor], done: DataFra
             rows = []
             for r in batch.itertuples(index=False):
                 began = time.perf_counter()
-                text, error, no_layout = read_page(extractor, r.path, r.content, int(r.page), layout)
+                text, error, no_layout = read_page(extractor, r.path, r.content, int(r.page), layout, timeout)
                 rows.append((r.doc_id, r.page_id, r.ord, r.path, extractor.method, text, time.perf_counter() - began, error, no_layout))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES_RAW.split(", ")])
 
@@ -126,6 +190,27 @@ def classify(pages: DataFrame, *by: str) -> DataFrame:
     return found.withColumn("class", F.when(F.col("avg_words") >= LEAST_WORDS, "text").otherwise("image"))
 
 
+def pdf_classes(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
+    """doc_id, class (text or image) of PDFs, by the words that a sample of their pages holds; those without a page are images."""
+    pdfs = files.where("kind = 'pdf'").select("doc_id", "path", "content")
+
+    def look(batches):
+        extractor = make()
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                n = extractor.pages(r.path, r.content)
+                for at in range(n) if n <= SAMPLED else [i * (n - 1) // (SAMPLED - 1) for i in range(SAMPLED)]:
+                    try:
+                        rows.append((r.doc_id, at, n, extractor.native(r.path, r.content, at + 1)))
+                    except Exception:  # a page that can't be read has no words
+                        rows.append((r.doc_id, at, n, ""))
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "n_pages", "text"])
+
+    found = classify(pdfs.mapInPandas(look, "doc_id string, at int, n_pages int, text string"), "doc_id")
+    return pdfs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class", F.lit("image")).alias("class"))
+
+
 def resolve_method(asked: Column, pdf_class: Column, force_ocr: Column | bool = False, has_docling: bool = False) -> Column:
     """How a PDF is read: images and forced ones by recognition, else as asked; without its library `docling` is plain text."""
     force = F.lit(force_ocr) if isinstance(force_ocr, bool) else force_ocr

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.formats import base_name, stem, suffix
-from quire.operators import keep, order
+from quire.operators import order
 
-LISTED = "path string, modificationTime timestamp, length long"
+logger = logging.getLogger(__name__)
 
 
 class SourceError(Exception):
@@ -39,28 +41,42 @@ def collect_sources(spark: SparkSession, folder: str, extensions: tuple[str, ...
     documents=False takes images alone, in plain order.
     """
     if files is not None:
+        if lost := [f for f in files if "://" not in f and not os.path.exists(local(f))]:
+            raise SourceError(f"not found: {', '.join(lost)}")
         rows = spark.createDataFrame(list(enumerate(files)), "ord long, path string").withColumn("name", base_name(F.col("path")))
         return rows.select("path", "name", stem(F.col("name")).alias("stem"), suffix(F.col("name")).alias("ext"), order.kind(F.col("name")).alias("kind"), "ord")
     wanted = extensions + (tuple(order.KINDS) if documents else ())
+    if "://" not in folder:
+        if not os.path.exists(folder):
+            raise SourceError(f"not found: {folder}")
+        if os.path.isfile(folder) and not documents and not folder.lower().endswith(extensions):
+            raise SourceError(f"not an image: {folder}")
     found = listing(spark, folder, wanted)
     if found.isEmpty():
         if has_images_below(spark, folder, extensions):
             raise SourceError(f"no image directly in {folder}: images are in subfolders; copy and number them first")
         if not documents:
             raise SourceError(f"no image ({', '.join(extensions)}) in {folder}")
+    if not documents:
+        for r in order.duplicate_stems(found).orderBy("stem").toLocalIterator():
+            logger.warning("%s: %d files of that name; their pages share a part", r["stem"], r["files"])
     keys = [order.natural_key(F.col("name")), F.col("name")] if documents else [F.col("path")]
     return order.with_position(found.drop("length"), *keys, start=0)
 
 
 def has_images_below(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> bool:
-    return not listing(spark, folder, extensions, recursive=True).limit(1).isEmpty()
+    """Whether a subfolder, at any depth, has images; the folder's own don't count."""
+    return not listing(spark, folder, extensions, recursive=True).select(_relative(folder)).where(F.instr("relative", "/") > 0).limit(1).isEmpty()
+
+
+def _relative(folder: str):
+    root = os.path.abspath(local(folder)) if "://" not in folder else folder.rstrip("/")
+    return F.substr("path", F.locate(root, "path") + F.lit(len(root) + 1)).alias("relative")
 
 
 def subfolder_plan(spark: SparkSession, folder: str, extensions: tuple[str, ...], chapters: list[str] | None = None, prefix: str = "page", start: int = 1, by_level: bool = False) -> DataFrame:
     """old, new_name of the images in the subfolders: folder by folder, by time or level by level."""
-    files = listing(spark, folder, extensions, recursive=True)
-    root = os.path.abspath(local(folder)) if "://" not in folder else folder.rstrip("/")
-    files = files.withColumn("relative", F.substr("path", F.locate(root, "path") + F.lit(len(root) + 1)))
+    files = listing(spark, folder, extensions, recursive=True).select("*", _relative(folder))
     files = files.where(F.instr("relative", "/") > 0).withColumn("folder", F.substring_index("relative", "/", 1))
     folders = order.requested(files.select("folder").distinct(), chapters).select("folder", F.col("ord").alias("folder_ord"))
     inner = F.expr("substring(relative, length(folder) + 2)")
@@ -80,15 +96,23 @@ def local(path: str) -> str:
 
 
 def apply_plan(plan: DataFrame, folder: str, move: bool = False, dry_run: bool = False) -> list[str]:
-    """Copies or renames on the machine that has the files, row by row; gives the new paths in order."""
-    done = []
+    """Copies or renames on the machine that has the files, row by row; gives the new paths in order.
+
+    Files are renamed by way of names that no file has, so that a file whose name another one gets isn't lost.
+    """
+    done, moved, mark = [], [], uuid.uuid4().hex
     for r in plan.orderBy("ord").toLocalIterator():
         old, new = local(r["old"]).replace("///", "/"), os.path.join(folder, r["new_name"])
         if dry_run:
             print(f"  {os.path.basename(old)}  ->  {r['new_name']}")
+        elif move:
+            os.rename(old, f"{new}.{mark}")
+            moved.append(new)
         else:
-            (os.rename if move else shutil.copy2)(old, new)
+            shutil.copy2(old, new)
         done.append(new)
+    for new in moved:
+        os.rename(f"{new}.{mark}", new)
     return done
 
 
@@ -127,21 +151,43 @@ def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("markdown"))
 
 
-def write_parts(parts: DataFrame, folder: str) -> None:
-    """Adds parts; a page that is there already is replaced, so that a batch may come twice.
+def write_parts(parts: DataFrame, folder: str, batch: int | None = None) -> None:
+    """Adds parts as files of their own, in a folder with the batch's number; nothing that is there is read or written anew.
 
-    The table is partitioned by a hash of doc_id, and only the partitions that a batch touches are written anew.
+    A page may come again: read_parts() takes what came last.  A numbered batch that comes again replaces its own files; without a number it is the next.
     """
     spark = parts.sparkSession
-    new = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    try:
-        old = spark.read.parquet(folder)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new.write.partitionBy("bucket").parquet(folder)
-        return
-    touched = new.select("bucket").distinct()
-    old_rows = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_anti")
-    merged = keep.kept(old_rows.select(*new.columns).unionByName(new))  # it reads the table that it is written to
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    if batch is None:
+        batch = 1 + max([-1, *_batches(spark, folder)])
+    parts.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch:012d}")
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches in folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [x.getPath().getName() for x in store.listStatus(path)]
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Each page's latest part; None where no part is."""
+    if not _batches(spark, folder):
+        return None
+    every = spark.read.parquet(folder)
+    columns = [c for c in every.columns if c != "batch"]
+    latest = every.groupBy("doc_id", "page_id").agg(F.max_by(F.struct(*columns), "batch").alias("p"))
+    return latest.select("p.*")
+
+
+def compact_parts(spark: SparkSession, folder: str) -> None:
+    """Writes each page's latest part into one batch, which counts before the others go; to be run while no batch is written."""
+    old = _batches(spark, folder)
+    if len(old) > 1:
+        write_parts(read_parts(spark, folder), folder)
+        for n in old:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/batch={n:012d}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

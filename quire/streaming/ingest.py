@@ -17,10 +17,10 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 
 
 def write_parts(stream: DataFrame, config: Config, parts_folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Cleans each batch and writes its parts; a batch that comes again replaces its own, and late pages are new ones."""
+    """Cleans each batch and writes its parts; a batch that comes again replaces its own, and of a page's parts the latest counts (files.read_parts)."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        files.write_parts(pages.page_parts(rows.dropDuplicates(["doc_id", "page_id"]), config), parts_folder)
+    def batch(rows: DataFrame, number: int) -> None:
+        files.write_parts(pages.page_parts(rows.dropDuplicates(["doc_id", "page_id"]), config), parts_folder, number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

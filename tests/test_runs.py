@@ -2,11 +2,13 @@
 
 import io
 import os
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire import config
 from quire.config import Config, parse_bool, parse_int
 from quire.operators import figures, order, pages, stats
 from quire.plans import cli, runs
@@ -29,7 +31,7 @@ def test_collect_sources(spark, tmp_path):
     folder = make(tmp_path, ["page_10.jpg", "page_2.JPG", "page_1.jpg", "readme.txt", "b.PDF", "sub/x.png"])
     found = files.collect_sources(spark, folder, EXT).orderBy("ord").collect()
     assert [(r["name"], r["kind"], r["ord"]) for r in found] == [("b.PDF", "pdf", 0), ("page_1.jpg", "image", 1), ("page_2.JPG", "image", 2), ("page_10.jpg", "image", 3)]
-    assert [r["name"] for r in files.collect_sources(spark, folder, EXT, ("z/q.png", "a.jpg")).orderBy("ord").collect()] == ["q.png", "a.jpg"]
+    assert [r["name"] for r in files.collect_sources(spark, folder, EXT, (f"{folder}/sub/x.png", f"{folder}/page_1.jpg")).orderBy("ord").collect()] == ["x.png", "page_1.jpg"]
     assert {r["kind"]: r["problem"] for r in order.kind_gate(files.collect_sources(spark, folder, EXT)).collect()} == {"pdf": "mixed kinds", "image": "mixed kinds"}
     only = make(tmp_path / "nested", ["c1/a.png"])
     with pytest.raises(files.SourceError, match="subfolders"):
@@ -68,7 +70,7 @@ def test_run_and_resume(spark, tmp_path):
     assert {n: (r["error"], r["no_layout"]) for n, r in metrics.items()} == {"a": (False, False), "b": (True, False), "c": (False, True), "d": (True, False)}
     more = sources(spark, {"a": "changed", "e": "new page"})
     assert [r["name"] for r in runs.recognise(spark, config, more, extract.FakeExtractor, parts).collect()] == ["e"]
-    kept = spark.read.parquet(parts)
+    kept = files.read_parts(spark, parts)
     assert sorted((r["page_id"], r["status"]) for r in kept.collect()) == [("a", "ok"), ("b", "error"), ("c", "fallback"), ("d", "error"), ("e", "ok")]
     order_ = spark.createDataFrame([("book", p, i) for i, p in enumerate("cabdex")], "doc_id string, page_id string, ord int")
     book = runs.books(spark, config, order_, parts).first()
@@ -163,8 +165,16 @@ def test_stream(spark, tmp_path):
     ingest.write_parts(ingest.page_stream(spark, str(tmp_path / "in")), *args).awaitTermination()
     rows(3).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.write_parts(ingest.page_stream(spark, str(tmp_path / "in")), *args).awaitTermination()
-    found = spark.read.parquet(args[1]).collect()
+    found = files.read_parts(spark, args[1]).collect()
     assert sorted(r["page_id"] for r in found) == [f"p{i}" for i in range(8)] and all("condition" in r["clean_text"] for r in found)
+    again = files.read_parts(spark, args[1]).orderBy("page_id").collect()
+    files.write_parts(files.read_parts(spark, args[1]).where("page_id = 'p1'").selectExpr("* except (status)", "'mended' as status"), args[1])
+    assert {r["page_id"]: r["status"] for r in files.read_parts(spark, args[1]).collect()} == {r["page_id"]: "mended" if r["page_id"] == "p1" else r["status"] for r in again}
+    files.write_parts(spark.read.parquet(f"{args[1]}/batch=000000000000").where("page_id = 'p2'"), args[1], 1)  # a batch that comes again replaces its own
+    assert files.read_parts(spark, args[1]).count() == 5
+    before = sorted(map(str, files.read_parts(spark, args[1]).collect()))
+    files.compact_parts(spark, args[1])
+    assert sorted(map(str, files.read_parts(spark, args[1]).collect())) == before and len(os.listdir(args[1])) == 1
     running = ingest.progress(ingest.page_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("progress_test").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     assert spark.table("progress_test").first()["done"] == 10
@@ -178,15 +188,114 @@ def test_config_and_cli(spark, tmp_path):
         parse_bool("maybe")
     args = cli.parser().parse_args(["--header-pattern", "^A", "1", "--header-pattern", "^B", "2", "--no-resume", "--rename-only"])
     assert cli.to_config(args).header_patterns == (("^A", 1), ("^B", 2)) and not cli.to_config(args).resume and args.rename_only == 1
+    assert config.from_environment({"OCR_PAGE_TIMEOUT": "7", "OCR_OBSIDIAN_VAULT_ROOT": "/v", "OCR_N_PARALLEL": " "}) == {"page_timeout": 7, "vault_root": "/v"}
     folder = make(tmp_path / "in", ["a.jpg", "b.jpg"])
-    out = str(tmp_path / "out" / "book.md")
-    assert cli.main(["--images", folder, "--out", out]) == 1  # no extractor is named
-    assert cli.main(["--images", folder, "--out", out, "--extractor", "quire.sources.extract:FakeExtractor"]) == 0
-    assert "text of a.jpg" in open(out).read()
+    out, more = str(tmp_path / "out" / "book.md"), ["--report", str(tmp_path / "r.md"), "--log", str(tmp_path / "run.log")]
+    assert cli.main(["--images", folder, "--out", out, *more]) == 1  # no extractor is named
+    assert cli.main(["--images", str(tmp_path / "nowhere"), "--out", out, *more]) == 1
+    assert "no such" not in open(tmp_path / "run.log").read() and "not found" in open(tmp_path / "run.log").read()
+    more += ["--extractor", "quire.sources.extract:FakeExtractor"]
+    assert cli.main(["--images", folder, "--out", out, *more]) == 0
+    assert open(out).read() == "# OCR Book\n\n<!-- Generated with paddleocrvl -->\n" + "".join(f"\n\n<!-- Page {x} -->\n\ntext of {x}.jpg\n" for x in "ab")
+    report = open(tmp_path / "r.md").read()
+    assert report.startswith("# OCR Run Report\n\n**Date** : ") and "| Total pages | 2 |" in report and "| Processed successfully | 2 |" in report and "| Skipped (resume) | 0 |" in report
     (tmp_path / "in" / "c.jpg").write_text("BROKEN")
-    assert cli.main(["--images", folder, "--out", out, "--extractor", "quire.sources.extract:FakeExtractor"]) == 2
-    assert "ERROR: broken page" in open(str(tmp_path / "out" / "book_1.md")).read()
-    with open(out, "w") as f:
-        f.write('x- y <img src="f/imgs/q.png">')
-    assert cli.main(["--out", out, "--mode", "obsidian", "--postprocess-only"]) == 0
-    assert open(out).read() == "xy ![[Files/OCR/q.png]]"
+    assert cli.main(["--images", folder, "--out", out, *more]) == 2
+    assert open(str(tmp_path / "out" / "book_1.md")).read() == open(out).read() + "\n\n<!-- Page c — ERROR: broken page -->\n"
+    assert "| Skipped (resume) | 2 |" in open(tmp_path / "r.md").read()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "c.jpg").write_text("BROKEN")
+    assert cli.main(["--images", str(tmp_path / "bad"), "--out", str(tmp_path / "none" / "book.md"), *more]) == 2
+    assert not os.path.exists(tmp_path / "none" / "book.md")
+
+
+def test_vault_on_the_command_line(spark, tmp_path):
+    root = make(tmp_path, ["in/a.jpg", "figures/a/imgs/q.png", "figures/z/imgs/z.png"])
+    (tmp_path / "in" / "a.jpg").write_text('x- y <img src="imgs/q.png">')
+    own = ["--mode", "obsidian", "--vault-root", f"{root}/vault", "--vault-path", "Notes", "--vault-figures-dir", "F", "--out", f"{root}/book.md", "--report", f"{root}/r.md", "--log", f"{root}/l"]
+    assert cli.main(["--mode", "obsidian", "--postprocess-only", "--log", f"{root}/l"]) == 1  # no vault
+    assert cli.main(["--postprocess-only", "--log", f"{root}/l"]) == 1
+    here = os.getcwd()
+    os.chdir(root)
+    try:
+        os.makedirs("output")
+        os.rename("figures", "output/figures")
+        assert cli.main([*own, "--images", f"{root}/in", "--keep-html", "--extractor", "quire.sources.extract:FakeExtractor"]) == 0
+        assert open(f"{root}/vault/Notes/book.md").read().endswith("\n\nxy ![[F/q.png]]\n") and os.listdir(f"{root}/vault/F") == ["q.png"]  # the run's pages alone
+        with open(f"{root}/vault/Notes/book.md", "w") as f:
+            f.write('x- y <img src="f/imgs/q.png">')
+        assert cli.main([*own, "--postprocess-only"]) == 0
+        assert open(f"{root}/vault/Notes/book.md").read() == "xy ![[F/q.png]]" and sorted(os.listdir(f"{root}/vault/F")) == ["q.png", "z.png"]
+    finally:
+        os.chdir(here)
+
+
+def test_epub_on_the_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.epub").write_bytes(archive())
+    here, more = os.getcwd(), ["--log", str(tmp_path / "l")]
+    os.chdir(tmp_path)
+    try:
+        for source in ("in", "in/b.epub"):
+            os.makedirs("output/figures", exist_ok=True)
+            open("output/figures/old.png", "w").close()
+            assert cli.main(["--images", str(tmp_path / source), "--out", "output/b.md", *more]) == 0
+            assert open("output/b.md").read() == "Head\n One two three\n\nLast one" and sorted(os.listdir("output/figures")) == ["x.png", "x_1.png", "y.GIF"]
+        vault = ["--mode", "obsidian", "--vault-root", str(tmp_path / "v"), "--vault-path", "N", "--vault-figures-dir", "F"]
+        assert cli.main(["--images", str(tmp_path / "in"), "--out", "output/b.md", *vault, *more]) == 0
+        assert os.listdir("v/N") == ["b.md"] and len(os.listdir("v/F")) == 3
+        (tmp_path / "in" / "c.epub").write_bytes(archive())
+        assert cli.main(["--images", str(tmp_path / "in"), "--out", "output/b.md", *more]) == 1  # two of them
+    finally:
+        os.chdir(here)
+
+
+def test_text_pdfs_on_the_command_line(spark, tmp_path):
+    words = "\f".join([f"{i}\n" + "plain words of a page that has many of them, more than twenty in all, so that " * 2 + ("FIGURE" if i == 2 else "") for i in range(1, 8)] + ["BROKEN"])
+    for kind, text in (("text", words), ("image", "few\fwords")):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "b.pdf").write_text(text)
+        more = ["--method", "text", "--extractor", "quire.sources.extract:FakeExtractor", "--report", str(tmp_path / "r.md"), "--log", str(tmp_path / "l")]
+        assert cli.main(["--images", str(tmp_path / kind), "--out", str(tmp_path / kind / "out" / "b.md"), *more]) == (2 if kind == "text" else 0)
+    book = open(tmp_path / "text" / "out" / "b.md").read()
+    line = "plain words of a page that has many of them, more than twenty in all, so that " * 2
+    blocks = [f"\n\n<!-- Page b_p{i:03d} (p. {i}) -->\n\n{line}" + ('FIGURE\n\n<img src="imgs/figure_0.png" />' if i == 2 else "") + "\n" for i in range(1, 8)]
+    assert book == "# OCR Book\n\n<!-- Generated with text -->\n" + "".join(blocks) + "\n\n<!-- Page b_p008 — ERROR: broken page -->\n"
+    assert "\n\n<!-- Page b_p001 -->\n\nfew\n" in open(tmp_path / "image" / "out" / "b.md").read()  # recognised, so no place for a label
+
+
+def test_rename_on_the_command_line(spark, tmp_path):
+    folder, more = make(tmp_path / "s", ["own.jpg", "c2/a.jpg", "c1/b.jpg"]), ["--log", str(tmp_path / "l"), "--rename-only"]
+    assert cli.main(["--images", folder, *more, "0"]) == 0  # subfolders beside own images: these are copied
+    assert sorted(x for x in os.listdir(folder) if x.endswith(".jpg")) == ["own.jpg", "page_000.jpg", "page_001.jpg"] and open(f"{folder}/page_000.jpg").read() == "text of c1/b.jpg"
+    folder = make(tmp_path / "t", ["c2/a.jpg", "c1/b.jpg"])
+    assert cli.main(["--images", folder, *more, "5", "--chapters", "c2"]) == 0
+    assert open(f"{folder}/page_005.jpg").read() == "text of c2/a.jpg"
+    folder = make(tmp_path / "u", ["b.jpg", "page_001.jpg", "page_002.jpg"])  # each name but one is another file's before
+    assert cli.main(["--images", folder, *more]) == 0
+    assert [open(f"{folder}/page_00{i}.jpg").read() for i in (1, 2, 3)] == ["text of b.jpg", "text of page_001.jpg", "text of page_002.jpg"]
+
+
+def test_lists_and_timeouts(spark, tmp_path):
+    folder = make(tmp_path, ["b.jpg", "a.png", "a.jpg", "n.txt"])
+    assert [r["name"] for r in files.collect_sources(spark, folder, EXT, documents=False).orderBy("ord").collect()] == ["a.jpg", "a.png", "b.jpg"]
+    for bad in (f"{folder}/gone", f"{folder}/n.txt"):
+        with pytest.raises(files.SourceError):
+            files.collect_sources(spark, bad, EXT, documents=False)
+    with pytest.raises(files.SourceError, match="not found"):
+        files.collect_sources(spark, folder, EXT, (f"{folder}/a.jpg", f"{folder}/gone.jpg"))
+
+    class Slow(extract.FakeExtractor):
+        def text(self, path, content, page, layout):
+            time.sleep(2 if layout else 0)
+            return "late"
+
+    assert extract.read_page(Slow(), "p", b"", 1, timeout=0.2) == ("late", None, True)
+    assert extract.read_page(extract.FakeExtractor(), "p", b"BROKEN", 1, timeout=5) == (None, "broken page", False)
+    empty = sources(spark, {"z": ""}).selectExpr("* except (kind)", "'pdf' as kind")
+
+    class NoPages(extract.FakeExtractor):
+        def pages(self, path, content):
+            return 0
+
+    assert [(r["doc_id"], r["class"]) for r in extract.pdf_classes(empty, NoPages).collect()] == [("book", "image")]
