@@ -60,7 +60,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     lines = _lines(docs, min_chars)
     spread = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), sketch("site").alias("sites"))
     spread = _base.cut(spread.where(_about(F.col("sites"), min_sites)[0]))
-    own = _held(lines, spread, broadcast, hot_share)
+    own = _base.cut(_held(lines, spread, broadcast, hot_share))
     both = spread.join(own.groupBy("key").agg(sketch("same").alias("texts")), "key").where(_about(F.col("texts"), min_sites)[0])
     both = _base.cut(both)
     for column, of in (("sites", "site"), ("texts", "same")):
