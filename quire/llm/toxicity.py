@@ -16,6 +16,8 @@ once counts as toxic if one label says so; of texts with the same doc_id the one
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,27 +59,26 @@ class Classifier:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list[tuple], penalty: float = PENALTY, rounds: int = ROUNDS) -> "Classifier":
-        """rows: (features, 0 or 1)."""
+    def fit(cls, rows: Iterable[tuple], penalty: float = PENALTY, rounds: int = ROUNDS) -> "Classifier":
+        """rows: (features, 0 or 1); each is let go once it is read."""
         import numpy as np
 
-        y = np.array([label for _, label in rows], dtype=np.float64)
-        weights = np.zeros(1 << BITS)
+        labels, sizes, blocks, held, first = [], [], [], [], 0  # blocks: (features, rows) of whole rows, some BLOCK features
+        count, weights = np.ones((2, 1 << BITS)), np.zeros(1 << BITS)
+        for f, label in rows:
+            held.append(np.array(f, dtype=np.int32))
+            labels.append(label)
+            sizes.append(len(f))
+            count[0 if label else 1, held[-1]] += 1
+            if sum(sizes[first:]) > BLOCK:
+                blocks.append((np.concatenate(held), slice(first, len(sizes))))
+                held, first = [], len(sizes)
+        if held:
+            blocks.append((np.concatenate(held), slice(first, len(sizes))))
+        y, sizes = np.array(labels, dtype=np.float64), np.array(sizes, dtype=np.int64)
         if not 0 < y.sum() < len(y):
             p = (y.sum() + 0.5) / (len(y) + 2)
             return cls(weights, float(np.log(p / (1 - p))))
-        sizes = np.array([len(f) for f, _ in rows])
-        blocks, first = [], 0  # (features, row of each, rows): whole rows, some BLOCK features
-        for last in range(1, len(rows) + 1):
-            if last == len(rows) or sizes[first : last + 1].sum() > BLOCK:
-                at = np.concatenate([np.asarray(f, dtype=np.int32) for f, _ in rows[first:last]])
-                blocks.append((at, np.repeat(np.arange(last - first, dtype=np.int32), sizes[first:last]), slice(first, last)))
-                first = last
-        count = np.ones((2, 1 << BITS))
-        for at, row, some in blocks:
-            label = y[some][row] > 0
-            count[0] += np.bincount(at[label], minlength=1 << BITS)
-            count[1] += np.bincount(at[~label], minlength=1 << BITS)
         ratio = np.log(count[0] / count[0].sum()) - np.log(count[1] / count[1].sum())
         unit = 1 / np.sqrt(np.maximum(sizes, 1))
         share = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both kinds weigh the same
@@ -85,10 +86,11 @@ class Classifier:
         m, v = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, rounds + 1):  # Adam on all rows
             scaled, grad, total = weights * ratio, np.zeros_like(weights), 0.0
-            for at, row, some in blocks:
-                z = np.bincount(row, weights=scaled[at], minlength=some.stop - some.start) * unit[some] + bias
+            for at, some in blocks:
+                sums = np.concatenate([[0.0], np.cumsum(scaled.take(at))])[np.concatenate([[0], np.cumsum(sizes[some])])]
+                z = np.diff(sums) * unit[some] + bias
                 miss = (1 / (1 + np.exp(-z)) - y[some]) * share[some]
-                grad += np.bincount(at, weights=(miss * unit[some])[row], minlength=1 << BITS)
+                grad += np.bincount(at, weights=np.repeat(miss * unit[some], sizes[some]), minlength=1 << BITS)
                 total += miss.sum()
             grad = grad * ratio / len(y) + penalty * weights
             total /= len(y)
@@ -144,18 +146,24 @@ def learn(docs: DataFrame, labels: DataFrame, learn_toxic: int = LEARN_TOXIC, le
 
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
 
-    def fit(group):
-        """A fit without the rows of a fold, of which it gives the margins; no row has fold FOLDS."""
-        group = group.sort_values("doc_id")  # the fit doesn't depend on how rows arrive
-        every = [(np.frombuffer(f, "<i4"), int(toxic)) for f, toxic in zip(group["f"], group["toxic"], strict=True)]
-        apart = (group["fold"] == group["without"]).tolist()
-        model = Classifier.fit([r for r, out in zip(every, apart, strict=True) if not out])
-        left = [r for r, out in zip(every, apart, strict=True) if out]
-        whole = not left and group["without"].iloc[0] == FOLDS
-        return pd.DataFrame({"weights": [model.weights.tobytes() if whole else None], "bias": [model.bias], "margins": [[model.margin(f) for f, _ in left]], "toxic": [[y > 0 for _, y in left]]})
+    def fit(batches):
+        """For each `without`, a fit without the rows of that fold, of which it gives the margins; no row has fold FOLDS."""
+        drawn: dict[int, list] = {}
+        for batch in batches:
+            for row in zip(batch["doc_id"], batch["toxic"], batch["fold"], batch["f"], batch["without"], strict=True):
+                drawn.setdefault(row[-1], []).append(row[:-1])
+        while drawn:
+            without, own = drawn.popitem()
+            own.sort(key=lambda r: r[0], reverse=True)  # the fit doesn't depend on how rows arrive
+            left = [r for r in reversed(own) if r[2] == without]
+            own = [r for r in own if r[2] != without]
+            model = Classifier.fit((np.frombuffer(f, "<i4"), int(toxic)) for _, toxic, _, f in (own.pop() for _ in range(len(own))))
+            margins = [model.margin(np.frombuffer(r[3], "<i4")) for r in left]
+            yield pd.DataFrame({"weights": [model.weights.tobytes() if without == FOLDS else None], "bias": [model.bias], "margins": [margins], "toxic": [[bool(r[1]) for r in left]]})
 
     # a task has all of the bounded sample; an executor has more room than the driver
-    fits = rows.groupBy("without").applyInPandas(fit, "weights binary, bias double, margins array<double>, toxic array<boolean>").collect()  # FOLDS + 1 rows
+    dealt = rows.select("doc_id", "toxic", "f", "fold", "without").repartitionByRange(FOLDS + 1, "without")
+    fits = dealt.mapInPandas(fit, "weights binary, bias double, margins array<double>, toxic array<boolean>").collect()  # FOLDS + 1 rows
     whole = next((r for r in fits if r["weights"] is not None), None)
     if whole is None:
         return Classifier(np.zeros(1 << BITS), Classifier.fit([]).bias)
