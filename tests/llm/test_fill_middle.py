@@ -1,0 +1,73 @@
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import fill_middle as fim
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(doc_id, text):
+    """By Python's own strings of code points."""
+    text = text or ""
+    h = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(h[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    n = len(text)
+    x, y = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return doc_id, n, "plain", None, None, text
+    p, m, s = text[:x], text[x:y], text[y:]
+    return (doc_id, n, "spm", x, y - x, f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (doc_id, n, "psm", x, y - x, f"<P>{p}<S>{s}<M>{m}")
+
+
+def key(r):
+    return r[0] is None, r[0] or 0, r[5]
+
+
+def test_query_equals_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = sorted(map(tuple, fim.op11_fill_in_middle(spark, SF).collect()), key=lambda r: r[0])
+    assert got == sorted(db.execute(fim.OP11_SQL).fetchall(), key=lambda r: r[0])
+
+
+def test_hostile_rows(spark):
+    rng = random.Random(5)
+    kinds = ["abc <>SPM\n\0", "éüßж", "語€一", "😀🦀𝔸"]
+    docs = [(i, "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 200)))) for i in range(400)]
+    docs += [(1000, None), (1001, ""), (1002, "a<P>b"), (1003, "<M>"), (1004, "x<S"), (1005, "<"), (1006, "é" * 1_000_000 + "z" * 2_000_000 + "😀" * 700_000), (None, "no id"), (None, None), (-7, "minus"), (2**62, "large")]
+    docs += [(50, docs[50][1])] * 3
+    docs += [(2000 + i, "<" * (i % 9) + "S>" + ">" * (i % 5)) for i in range(60)]  # texts whose ends look like markers
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as form", "1 as n", "2 as output").repartition(3)
+    out = fim.fill_in_middle(df).withColumn("back", fim.restored(F.col("output"), F.col("form")))
+    rows = out.collect()
+    assert sorted((tuple(r)[:6] for r in rows), key=key) == sorted((brute(*d) for d in docs), key=key)
+    texts = sorted((d if d is not None else -1, t or "") for d, t in docs)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["back"]) for r in rows) == texts
+    assert {r["form"] for r in rows} == {"plain", "psm", "spm"}
+    assert fim.fill_in_middle(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
+def test_runs_across_blocks(block):
+    """Classes, cuts and lengths don't depend on where blocks end, within a code point or between texts."""
+    texts = ["", "aé語😀", "", "zzz", "ééé語語", "語", "", "😀a"]
+    data = np.frombuffer("".join(texts).encode(), "u1")
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    runs = fim.Runs(data, ends, block)
+    assert runs.lengths().tolist() == [len(t) for t in texts]
+    for i, t in enumerate(texts):
+        for c in range(len(t) + 1):
+            assert runs.bytes_at(np.array([i]), np.array([c]))[0] == ends[i] + len(t[:c].encode())
+    plain = fim.Runs(np.frombuffer(b"a" * 50, "u1"), np.array([0, 50]), block)
+    assert len(plain.at) == 2  # one run, and the end
+
+
+def test_rates(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "'some text to cut' as text")
+    n = {r["form"]: r["count"] for r in fim.fill_in_middle(df, key=9, rate=50, suffix_first=50).groupBy("form").count().collect()}
+    assert abs(n["plain"] - 2000) < 150 and abs(n["psm"] - 1000) < 120 and abs(n["spm"] - 1000) < 120
