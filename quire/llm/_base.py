@@ -74,6 +74,11 @@ class NewFile:
         self.where.move(self.own, self.path)
 
 
+def drop_folder(uri: str) -> None:
+    where, path = _place(uri)
+    where.delete_dir(path)
+
+
 def get_bytes(uri: str, first: int, size: int) -> bytes:
     where, path = _place(uri)
     with where.open_input_file(path) as file:
