@@ -10,8 +10,10 @@ def thousands(number: Column) -> Column:
     return F.format_number(number, 0)
 
 
-def seconds(value: Column, digits: int) -> Column:
-    """With 1 to 3 digits, of the double's exact value, ties to even: Java's formatter rounds its shortest decimal form, ties up."""
+def fixed(value: Column, digits: int) -> Column:
+    """With 0 to 3 digits, of the double's exact value, ties to even: Java's formatter rounds its shortest decimal form, ties up."""
+    if not digits:
+        return F.format_string("%.0f", F.rint(value))
     size = F.abs(value)
     known = F.coalesce(size < 2.0**53, F.lit(False))
     size = F.when(known, size).otherwise(0.0)
@@ -24,13 +26,17 @@ def seconds(value: Column, digits: int) -> Column:
     up = (left > limb // 2) | ((left == limb // 2) & ((low > 0) | (shown % 2 == 1)))
     shown = shown + F.when(up, 1).otherwise(0)
     sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
-    exact = F.format_string(f"%s%d.%0{digits}ds", sign, F.floor(size) + F.when(shown == ten, 1).otherwise(0), shown % ten)
-    return F.when(known, exact).otherwise(F.format_string(f"%.{digits}fs", value))
+    exact = F.format_string(f"%s%d.%0{digits}d", sign, F.floor(size) + F.when(shown == ten, 1).otherwise(0), shown % ten)
+    return F.when(known, exact).otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def seconds(value: Column, digits: int) -> Column:
+    return F.concat(fixed(value, digits), F.lit("s"))
 
 
 def duration(value: Column) -> Column:
     """Whole seconds below a minute, else minutes with one digit."""
-    return F.when(value < 60, F.format_string("%.0fs", value)).otherwise(F.format_string("%.1f min", value / 60))
+    return F.when(value < 60, seconds(value, 0)).otherwise(F.concat(fixed(value / 60, 1), F.lit(" min")))
 
 
 def moment(value: Column) -> Column:

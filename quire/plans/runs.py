@@ -120,6 +120,5 @@ def _names(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def by_document(metrics: DataFrame) -> DataFrame:
-    """Statistics per document, and for all in a row without one."""
-    total = stats.run_stats(metrics).withColumn("doc_id", F.lit(None).cast("string"))
-    return stats.run_stats(metrics, "doc_id").unionByName(total)
+    """Statistics per document, and for all in a row without one; no row of no pages."""
+    return stats.run_stats(metrics, "doc_id", totals=True)

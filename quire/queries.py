@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Config
 from quire.functions import clean, epub, html, markup, math, pages
-from quire.functions.formats import thousands
+from quire.functions.formats import duration, fixed, thousands
 from quire.operators import figures, order, stats
 from quire.operators import pages as page_ops
 from quire.sources import extract
@@ -293,33 +293,51 @@ def _metrics(spark, sf_dir) -> DataFrame:
 
 _METRICS = """with m as (select user_id::varchar as doc_id, 'e' || event_id as name, event_id as ord, value * 0.75 as t_ocr, value * 0.125 as t_post, value as total, event_id % 3000 as chars,
  event_id % 17 = 0 as looped, event_id % 10 = 0 as no_layout, event_type = 'error' as error from events)"""
-_STATS = """count(*) filter (where not error) as done, count(*) filter (where error) as errors, count(*) filter (where not error and looped) as loop_stops, count(*) filter (where not error and no_layout) as fallbacks,
- coalesce(sum(chars) filter (where not error), 0)::bigint as total_chars, round(coalesce(avg(total) filter (where not error), 0), 6) as avg_time, coalesce(sum(chars) filter (where not error) // nullif(count(*) filter (where not error), 0), 0)::bigint as avg_chars"""
+
+
+def _exact(t: str, only: str = "") -> str:
+    """SQL for the sum of doubles in any order: floors and two integers of 52 bits, put together at the end."""
+    k = 2**52
+    whole, part = f"floor({t})", f"(({t} - floor({t})) * {k}.0::double)"
+    a, h, b = (f"sum({x}::hugeint) {only}" for x in (whole, f"floor({part})", f"floor(({part} - floor({part})) * {k}.0::double)"))
+    h = f"({h} + {b} // {k})"
+    return f"(({a} + {h} // {k})::double + (({h} % {k})::double + ({b} % {k})::double / {k}.0::double) / {k}.0::double)"
+
+
+_DONE = "filter (where not error)"
+_STATS = f"""count(*) filter (where not error) as done, count(*) filter (where error) as errors, count(*) filter (where not error and looped) as loop_stops, count(*) filter (where not error and no_layout) as fallbacks,
+ coalesce(sum(chars) filter (where not error), 0)::bigint as total_chars, coalesce({_exact("total", _DONE)} / count(*) {_DONE}, 0) as avg_time, coalesce(sum(chars) filter (where not error) // nullif(count(*) filter (where not error), 0), 0)::bigint as avg_chars"""
 
 
 @query(f"{_METRICS} select doc_id, {_STATS} from m group by doc_id")
 def run_stats(spark, sf_dir):
-    return stats.run_stats(_metrics(spark, sf_dir), "doc_id").withColumn("avg_time", F.round("avg_time", 6))
+    return stats.run_stats(_metrics(spark, sf_dir), "doc_id")
 
 
 @query(f"{_METRICS} select doc_id, {_STATS} from m group by rollup (doc_id)")
 def stats_by_document(spark, sf_dir):
     from quire.plans.runs import by_document
 
-    return by_document(_metrics(spark, sf_dir)).withColumn("avg_time", F.round("avg_time", 6))
+    return by_document(_metrics(spark, sf_dir))
 
 
 @query(f"""{_METRICS}, s as (select unnest(['t_ocr', 't_post', 'total']) as step, unnest([t_ocr, t_post, total]) as t, total as whole from m where not error)
-select step, round(avg(t), 6) as avg, round(min(t), 6) as min, round(max(t), 6) as max, round(sum(t), 3) as sum, round(100 * sum(t) / sum(whole), 4) as percent from s group by step""")
+select step, {_exact("t")} / count(*) as avg, min(t) as min, max(t) as max, {_exact("t")} as sum, 100 * {_exact("t")} / {_exact("whole")} as percent from s group by step""")
 def step_breakdown(spark, sf_dir):
-    found = stats.step_breakdown(_metrics(spark, sf_dir))
-    return found.select("step", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")], F.round("sum", 3).alias("sum"), F.round("percent", 4).alias("percent"))
+    return stats.step_breakdown(_metrics(spark, sf_dir))
 
 
-@query(f"{_METRICS}, s as (select doc_id, {_STATS} from m group by doc_id) select doc_id, case when avg_time <> 0 and 200 - done - 5 - errors > 0 then round(avg_time * (200 - done - 5 - errors), 2) end as eta_s from s")
+@query(f"{_METRICS}, s as (select doc_id, {_STATS} from m group by doc_id) select doc_id, case when avg_time <> 0 and 200 - done - 5 - errors > 0 then avg_time * (200 - done - 5 - errors) end as eta_s from s")
 def eta(spark, sf_dir):
-    found = stats.with_eta(run_stats(spark, sf_dir), F.lit(200), F.lit(5))
-    return found.select("doc_id", F.round("eta_s", 2).alias("eta_s"))
+    return stats.with_eta(run_stats(spark, sf_dir), F.lit(200), F.lit(5)).select("doc_id", "eta_s")
+
+
+@query("select event_id, case when value < 60 then printf('%.0fs', value) else printf('%.1f min', value / 60) end as shown, printf('%.0fs', event_id % 60 + 0.5) as half, printf('%.1f min', (event_id % 400 * 15)::double / 60) as quarters from events")
+def durations(spark, sf_dir):
+    """Times as the report writes them, many of them on a tie."""
+    e = _table(spark, sf_dir, "events")
+    quarters = F.concat(fixed((F.col("event_id") % 400 * 15).cast("double") / 60, 1), F.lit(" min"))
+    return e.select("event_id", duration(F.col("value")).alias("shown"), duration(F.col("event_id") % 60 + F.lit(0.5)).alias("half"), quarters.alias("quarters"))
 
 
 @query(f"{_METRICS} select name from m where not error and no_layout")
@@ -332,20 +350,24 @@ def report_rows(spark, sf_dir):
     return stats.detail_rows(_metrics(spark, sf_dir))
 
 
-def _cells(label: str, step: str, wide: int, less: int) -> str:
-    numbers = " || ' | ' || ".join([f"printf('%.{wide}fs', {f}({step}))" for f in ("avg", "min", "max")] + [f"printf('%.{less}fs', sum({step}))"])
-    return f"'| {label} | ' || {numbers} || ' | ' || printf('%.1f%%', 100 * sum({step}) / sum(total)) || ' |'"
+def _cells(step: str, wide: int, less: int) -> str:
+    numbers = " || ' | ' || ".join([f"printf('%.{wide}fs', {x})" for x in (f"{_exact(step)} / count(*)", f"min({step})", f"max({step})")] + [f"printf('%.{less}fs', {_exact(step)})"])
+    return f"'| {stats.STEP_LABELS[step]} | ' || {numbers} || ' | ' || printf('%.1f%%', 100 * {_exact(step)} / {_exact('total')}) || ' |'"
+
 
+def _quoted(lines: list[str]) -> list[str]:
+    return [f"'{x}'" for x in lines]
 
+
+_VALUES = [
+    "12000", "count(*)", "5", "(select count(*) from m where error)", "count(*) filter (where no_layout)", "'1.0s'", "'1.2 min'",
+    "format('{:,}', sum(chars)::bigint)", "format('{:,}', (sum(chars) // count(*))::bigint)",
+]
 _REPORT = [
-    "'# Run Report'", "''", "'**Method** : text  '", "''", "'## Summary'", "''", "'| Metric | Value |'", "'|---|---|'", "'| Total pages | 12000 |'", "'| Processed successfully | ' || count(*) || ' |'",
-    "'| Skipped (resume) | 5 |'", "'| Errors | ' || (select count(*) from m where error) || ' |'", "'| Fallback no-layout | ' || count(*) filter (where no_layout) || ' |'", "'| Model load | 1.0s |'",
-    "'| Total duration (pipeline) | 1.5 min |'", "'| Total characters | ' || format('{:,}', sum(chars)::bigint) || ' |'", "'| Average characters/page | ' || format('{:,}', (sum(chars) // count(*))::bigint) || ' |'", "''",
-    "'## Execution Time Breakdown'", "''", "'| Step | Avg | Min | Max | Total | % |'", "'|---|---|---|---|---|---|'", _cells("Inference (pipeline.predict)", "t_ocr", 2, 1), _cells("Post-processing", "t_post", 3, 2),
-    "'| **Total/page** | **' || printf('%.2fs', avg(total)) || '** | **' || printf('%.2fs', min(total)) || '** | **' || printf('%.2fs', max(total)) || '** | **' || printf('%.1fs', sum(total)) || '** | — |'", "''",
+    "'# Run Report'", "''", "'**Method** : text  '", "''", *_quoted(stats.SUMMARY), *[f"'| {k} | ' || {v} || ' |'" for k, v in zip(stats.CELLS, _VALUES, strict=True)], "''",
+    *_quoted(stats.BREAKDOWN), _cells("t_ocr", 2, 1), _cells("t_post", 3, 2),
+    f"'| {stats.STEP_LABELS['total']} | **' || printf('%.2fs', {_exact('total')} / count(*)) || '** | **' || printf('%.2fs', min(total)) || '** | **' || printf('%.2fs', max(total)) || '** | **' || printf('%.1fs', {_exact('total')}) || '** | — |'", "''",
 ]
-_REVIEW = ["## Pages processed in fallback (without layout) — to review", "", "These pages triggered a timeout and were reprocessed without layout detection.", "Quality may be degraded (missing headers, broken words).", ""]
-_DETAIL = ["## Per-page Detail", "", "| Page | OCR | Post-processing | Total | Characters | Notes |", "|---|---|---|---|---|---|"]
 _ROWS = ORACLE_SQL["report_rows"].removeprefix(_METRICS)
 
 
@@ -354,10 +376,10 @@ def _listed(part: int, lines: list[str]) -> str:
 
 
 @query(f"""{_METRICS}, d as ({_ROWS}) {_listed(0, _REPORT)} from m where not error
-union all {_listed(1, [f"'{x}'" for x in _REVIEW])} union all select 2, ord, '- ' || name from m where not error and no_layout union all select 3, 0, ''
-union all {_listed(4, [f"'{x}'" for x in _DETAIL])} union all select 5, ord, line from d union all select 6, 0, ''""")
+union all {_listed(1, _quoted(stats.REVIEW))} union all select 2, ord, '- ' || name from m where not error and no_layout union all select 3, 0, ''
+union all {_listed(4, _quoted(stats.DETAIL))} union all select 5, ord, line from d union all select 6, 0, ''""")
 def run_report(spark, sf_dir):
-    return stats.report(_metrics(spark, sf_dir), total=12_000, skipped=5, title="Run Report", facts={"Method": "text"}, load_s=1.0, elapsed_s=90.0)
+    return stats.report(_metrics(spark, sf_dir), total=12_000, skipped=5, title="Run Report", facts={"Method": "text"}, load_s=1.0, elapsed_s=75.0)
 
 
 _NAMES = "case when doc_id % 4 = 0 then 'page_' || doc_id when doc_id % 4 = 1 then doc_id || '-a' when doc_id % 4 = 2 then 'page' || lpad(doc_id::varchar, 6, '0') || 'b' else 'IMG_' || (doc_id // 100) || '_' || (doc_id % 100) end || case when doc_id % 10 = 0 then '.PDF' when doc_id % 10 = 1 then '.epub' when doc_id % 3 = 0 then '.JPG' else '.png' end"

@@ -40,3 +40,9 @@ def test_statistics_shuffle_partial_sums_only(spark):
 
 def test_resume_filters_by_anti_join(spark):
     assert "LeftAnti" in plan(QUERIES["resume_anti_join"](spark, SF))
+
+
+def test_totals_come_from_the_same_pass(spark):
+    text = plan(QUERIES["stats_by_document"](spark, SF))
+    assert text.count("Scan parquet") <= 2 and len(re.findall(r"\) Expand", text)) >= 1 and "Union" not in text
+    assert len(re.findall(r"\(\d+\) Scan parquet", text)) == 1
