@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from quire.llm import _base
 from quire.llm._tokens import slices
 
-WINDOW, MER = 20, 6
+WINDOW, MER = 20, 4
 #: Bytes of text that are cut up at a time, and words that a bucket is to hold.
 SLICE_BYTES = 6 << 20
 BUCKET_WORDS = 1_000_000
 #: Windows of a packed string at most: a period of text can share one minimiser for ever.
 RUN_WINDOWS = 256
 #: Strings that words travel as, to a word of text, for the number of buckets.
-SPREAD = 3.4
+SPREAD = 3.2
 #: A run of words is counted in a slice from so many places on; it is frequent from a share of 1 / FREQUENT of all on, or one that follows the number of partitions.
 COUNTED, FREQUENT = 8, 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -231,7 +231,7 @@ def _send(buckets: int, frequent, window: int, mer: int):
         import pyarrow as pa
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         hot = frequent.value
         for nth, (key, before, part) in enumerate(_cut_up(batches, window, mer)):
             at = part.places(window)

@@ -113,7 +113,7 @@ def test_strings_travel_not_windows(spark):
     docs = [(d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(60)), line, *(f"w{rng.randrange(10**6)}" for _ in range(60))])) for d in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0L as tag").repartition(4)
     hot = [r["mer"] for r in df.mapInArrow(sub._count(64 * 4, sub.WINDOW, sub.MER), "mer long, n long").groupBy("mer").sum("n").where("mer is not null and `sum(n)` * 256 > 52000").select("mer").collect()]
-    assert len(hot) == 5  # runs of six within ten words
+    assert len(hot) == 10 - sub.MER + 1  # runs within ten words
     frequent = np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
     part = sub._Slice(__import__("pyarrow").array(" ".join(t for _, t in docs).split()), np.array([len(t.split()) for _, t in docs]), sub.WINDOW, sub.MER)
     key = part.keys(frequent)[part.places(sub.WINDOW)]
