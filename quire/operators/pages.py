@@ -84,13 +84,14 @@ def _parts(step: DataFrame, text: Column) -> DataFrame:
 def assemble(page_list: DataFrame, parts: DataFrame, method: str, headers: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """books(doc_id, markdown, n_pages, n_errors): title, a comment on the method, and the parts there are, in page order.
 
-    page_list: doc_id, page_id, ord.
+    page_list: doc_id, page_id, ord.  Sources that share a name share a page, which has all of their parts, in order, at its first place.
     """
-    own = parts.select("doc_id", "page_id", "block", "status")
-    joined = page_list.select("doc_id", "page_id", "ord").join(own, ["doc_id", "page_id"])
+    within = "ord, block" if "ord" in parts.columns else "block"
+    own = parts.groupBy("doc_id", "page_id").agg(F.expr(f"listagg(block, '') within group (order by {within})").alias("block"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"))
+    joined = page_list.groupBy("doc_id", "page_id").agg(F.min("ord").alias("ord")).join(own, ["doc_id", "page_id"])
     head = F.lit(f"{BOOK_TITLE}<!-- Generated with {method} -->\n")
     body = F.expr("listagg(block, '') within group (order by ord, page_id)")
-    books = joined.groupBy("doc_id").agg(F.concat(head, body).alias("markdown"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "error").alias("n_errors"))
+    books = joined.groupBy("doc_id").agg(F.concat(head, body).alias("markdown"), F.sum("n").alias("n_pages"), F.sum("bad").alias("n_errors"))
     return books.withColumn("markdown", pages.header_detection(F.col("markdown"), list(headers))) if headers else books
 
 

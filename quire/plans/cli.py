@@ -21,6 +21,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--extractor", metavar="MODULE:NAME", help="what makes an extractor (see quire.sources.extract) for the pages")
     p.add_argument("--out", help="the book's file")
     p.add_argument("--method", choices=("paddleocrvl", "text", "docling"))
+    p.add_argument("--unify", action="store_true", help="one book of all PDFs, not one of each")
+    p.add_argument("--n-parallel", type=int, help="extractors that work at once on an executor")
+    p.add_argument("--dpi", type=int, help="of page images")
     p.add_argument("--no-layout", action="store_true")
     p.add_argument("--no-resume", action="store_true")
     p.add_argument("--no-postprocess", action="store_true")
@@ -46,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
 
 def to_config(args: argparse.Namespace) -> Config:
     given = {"images_dir": args.images, "output_file": args.out, "extraction_method": args.method, "vault_root": args.vault_root, "vault_path": args.vault_path}
-    given |= {"vault_figures_dir": args.vault_figures_dir, "report_file": args.report, "log_file": args.log}
+    given |= {"vault_figures_dir": args.vault_figures_dir, "report_file": args.report, "log_file": args.log, "n_parallel": args.n_parallel, "pdf_dpi": args.dpi}
     return Config(
         **(from_environment() | {k: v for k, v in given.items() if v is not None}),
         mode=args.mode,
@@ -91,6 +94,9 @@ def main(argv: list[str] | None = None) -> int:
         except (SourceError, ValueError) as e:
             logger.error("%s", e)
             return 1
+        except Exception:
+            logger.exception("the run failed")
+            return 1
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
@@ -139,39 +145,40 @@ def _rename(spark, args: argparse.Namespace, config: Config) -> None:
 
 
 def _book(spark, args: argparse.Namespace, config: Config) -> int:
+    """One book, or one of each PDF where there are several: all pages are read in one run."""
     from pyspark.sql import functions as F
 
-    from quire.operators.order import kind_gate
+    from quire.operators import order
     from quire.plans import runs
-    from quire.sources import extract, files
+    from quire.sources import files
 
     began = time.time()
-    sources = files.collect_sources(spark, config.images_dir, config.extensions)
-    for r in kind_gate(sources).collect():
-        if r["problem"]:
+    sources = files.collect_sources(spark, config.images_dir, config.extensions, config.image_files and tuple(f if "://" in f else os.path.abspath(f) for f in config.image_files))
+    several = False
+    for r in order.kind_gate(sources).collect():  # a row per kind
+        if r["problem"] == "more than one pdf":
+            several = not args.unify
+        elif r["problem"]:
             raise files.SourceError(f"{r['problem']}: {', '.join(r['preview'])}")
-        if r["kind"] == "epub":
+        elif r["kind"] == "epub":
             runs.write_epub(spark, config, sources.first()["path"])
             return 0
     if not args.extractor:
         raise ValueError("name an extractor: --extractor MODULE:NAME")
     module, _, name = args.extractor.partition(":")
     make = getattr(importlib.import_module(module), name)
-    content = spark.read.format("binaryFile").load(config.images_dir).select("path", "content")
-    rows = sources.join(content, "path").withColumn("doc_id", F.lit("book"))
-    parts = (os.path.dirname(config.output_file) or ".") + "/parts"
-    pages = extract.page_list(rows, make).select("doc_id", "page_id", "ord")
-    before = files.read_parts(spark, parts) if config.resume else None
-    skipped = 0 if before is None else pages.join(before.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_semi").count()
-    metrics = runs.recognise(spark, config, rows, make, parts)
-    failed, done = metrics.where("error").count(), metrics.where("not error").count()
-    if done or skipped:  # else there is no book
-        for r in runs.books(spark, config, pages, parts).toLocalIterator():
-            config = replace(config, output_file=files.write_book(r["markdown"], config.output_file))
-    runs.write_report(metrics, config, pages.count(), skipped, args.extractor, time.time() - began)
+    sources = sources.withColumn("doc_id", F.col("stem") if several else F.lit("book"))
+    parts = (os.path.dirname(config.log_file) or ".") + "/parts"  # never beside a book in the vault
+    done = runs.run(spark, config, sources, make, parts)
+    if done.done or done.skipped:  # else there is no book
+        places = order.with_position(done.pages, F.col("file_ord"), F.col("page")) if args.unify else done.pages
+        names = files.write_books(runs.books(spark, config, places, parts), config.output_file, not several)
+        written = [r["name"] for r in names.orderBy("doc_id").limit(20).collect()]  # as many as the report is to name
+        config = replace(config, output_file=os.path.join(os.path.dirname(config.output_file), ", ".join(written)))
+    runs.write_report(done.metrics, config, done.total, done.skipped, args.extractor, time.time() - began)
     if config.mode == "obsidian":
-        runs.migrate(spark, config, page_ids=pages)
-    return 2 if failed else 0
+        runs.migrate(spark, config, page_ids=done.pages)
+    return 2 if done.errors else 0
 
 
 if __name__ == "__main__":

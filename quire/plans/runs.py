@@ -2,58 +2,102 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import Config
 from quire.functions import markup
 from quire.operators import figures, pages, stats
-from quire.sources import epub, extract, files
+from quire.operators.keep import kept
+from quire.sources import epub, extract, files, filesink
+
+logger = logging.getLogger(__name__)
 
 
 def page_metrics(raw: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per page that was worked on; clean-up runs inside Spark's own stages and has no time of its own."""
-    own = parts.select("doc_id", "page_id", "chars", "status")
-    joined = raw.select("doc_id", "page_id", "ord", "t_ocr", "no_layout").join(own, ["doc_id", "page_id"])
+    """One row per source page that was worked on; clean-up runs inside Spark's own stages and has no time of its own."""
+    own = parts.select("doc_id", "page_id", "ord", "chars", "status")
+    joined = raw.select("doc_id", "page_id", "ord", "t_ocr", "no_layout").join(own, ["doc_id", "page_id", "ord"])
     return joined.select("doc_id", F.col("page_id").alias("name"), "ord", F.lit(0.0).alias("t_pre"), "t_ocr", F.lit(0.0).alias("t_post"), F.col("t_ocr").alias("total"), "chars", F.lit(False).alias("looped"), "no_layout", (F.col("status") == "error").alias("error"))
 
 
+@dataclass
+class Run:
+    """What a run has read: pages (doc_id, path, page, page_id, ord, file_ord), their metrics, and counts that were observed on the way."""
+
+    pages: DataFrame
+    metrics: DataFrame
+    total: int
+    skipped: int
+    done: int
+    errors: int
+    figures: int
+
+
 def recognise(spark: SparkSession, config: Config, sources: DataFrame, make: Callable[[], extract.Extractor], parts_folder: str) -> DataFrame:
-    """Reads the pages that have no part yet, writes their parts, and gives their metrics.
+    return run(spark, config, sources, make, parts_folder).metrics
 
-    sources: doc_id, path, stem, kind, ord, content.  With the method `text` (or `docling`, whose library plugs in as an
-    extractor) PDFs that hold text are read as they are; images, and PDFs of images, are recognised.
+
+def run(spark: SparkSession, config: Config, sources: DataFrame, make: Callable[[], extract.Extractor], parts_folder: str) -> Run:
+    """Reads the pages that have no part yet, and writes their parts and figures.
+
+    sources: doc_id, path, stem, kind, ord.  Files that can't be opened are reported and left out.  With the method `text` (or `docling`, where the extractor has it)
+    PDFs that hold text are read as they are; images, and PDFs of images, are recognised.
     """
+    timeout, parallel = config.page_timeout, config.n_parallel
+    listed = kept(extract.file_pages(sources, make, timeout, parallel))
+    for r in listed.where("error is not null").toLocalIterator():
+        logger.error("Failed to open %s: %s", r["path"], r["error"])
+    pages_ = extract.page_list(listed)
     parts = files.read_parts(spark, parts_folder) if config.resume else None
-    done = None if parts is None else parts.select("doc_id", "page_id")
+    todo = pages_ if parts is None else pages.todo(pages_, parts)
+    todo = kept(todo)
+    count, left = pages_.count(), todo.count()
+    folder = f"{parts_folder.rstrip('/')}-raw/{uuid.uuid4().hex}"
+    if not left:
+        empty = spark.createDataFrame([], f"{extract.PAGES_RAW}")
+        return Run(pages_, page_metrics(empty, pages.text_parts(empty)), count, count, 0, 0, 0)
     native = None
     if config.extraction_method != "paddleocrvl" and not config.pdf_force_ocr:
-        classes = extract.pdf_classes(sources, make)
-        method = extract.resolve_method(F.lit(config.extraction_method), F.col("class"))
-        native = classes.where(method != "paddleocrvl").select("doc_id")
-    folder = f"{parts_folder.rstrip('/')}-raw/{uuid.uuid4().hex}"
+        classes = extract.pdf_classes(listed.join(todo.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi"), make, timeout, parallel)
+        method = extract.resolve_method(F.lit(config.extraction_method), F.col("class"), has_docling="docling" in getattr(make, "methods", ()))
+        native = kept(classes.select("path", method.alias("method")).where("method <> 'paddleocrvl'"))
 
-    def read(rows: DataFrame, make: Callable[[], extract.Extractor], name: str) -> DataFrame:
+    def read(rows: DataFrame, name: str, how: str = "") -> DataFrame:
         # raw texts are dear, and the parts that say which are to be read change below: they go to a table first
-        extract.extract_pages(rows, make, done, config.use_layout_detection, config.page_timeout).write.parquet(f"{folder}/{name}")
+        extract.extract_pages(rows, make, None, config.use_layout_detection, timeout, parallel, how).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    images = sources if native is None else sources.join(F.broadcast(native), "doc_id", "left_anti")  # one row per document
-    raw = read(images, make, "recognised")
+    raw = read(todo if native is None else todo.join(native, "path", "left_anti"), "recognised")
     found = pages.page_parts(raw, config)
+    drawn = 0
     if native is not None:
-        texts = read(sources.join(F.broadcast(native), "doc_id", "left_semi"), lambda: extract.Native(make), "native")
-        raw, found = raw.union(texts), found.union(pages.text_parts(texts))
-    found.write.parquet(f"{folder}/parts")
-    found = spark.read.parquet(f"{folder}/parts")
-    files.write_parts(found, parts_folder)
-    return page_metrics(raw, found)
+        for how, method in (("native", "text"), ("docling", "docling")):
+            own = todo.join(native.where(F.col("method") == method), "path", "left_semi")
+            if not own.isEmpty():
+                texts = read(own, how, how)
+                drawn += write_figures(texts, config.figures_dir)
+                raw, found = raw.union(texts), found.union(pages.text_parts(texts))
+    seen = Observation("parts")
+    bad = F.col("status") == "error"
+    batch = files.write_parts(found.observe(seen, F.count_if(~bad).alias("done"), F.count_if(bad).alias("errors")), parts_folder)
+    metrics = kept(page_metrics(raw, spark.read.parquet(batch)))
+    files.drop(spark, folder)
+    return Run(pages_, metrics, count, count - left, seen.get["done"], seen.get["errors"], drawn)
+
+
+def write_figures(raw: DataFrame, folder: str) -> int:
+    """Writes the figures of native pages into folder/<page>/imgs, from the tasks that have them; the number of files."""
+    own = raw.select("page_id", F.explode("figures").alias("f")).select(F.concat("page_id", F.lit("/imgs/"), "f.name").alias("name"), "f.content")
+    return 0 if own.isEmpty() else filesink.write_files(own, folder)
 
 
 def books(spark: SparkSession, config: Config, page_list: DataFrame, parts_folder: str) -> DataFrame:
@@ -78,9 +122,7 @@ def write_epub(spark: SparkSession, config: Config, path: str) -> None:
     shutil.rmtree(config.figures_dir, ignore_errors=True)
     os.makedirs(config.figures_dir)
     for rows in (found.select(F.col("saved").alias("name"), "content"), epub.svg_files(book).select("name", F.encode("content", "utf-8").alias("content"))):
-        for r in rows.toLocalIterator():
-            with open(os.path.join(config.figures_dir, r["name"]), "wb") as out:
-                out.write(r["content"])
+        filesink.write_files(rows, config.figures_dir)
     text = F.col("markdown")
     if config.mode == "obsidian":
         text = markup.wikilinks_markdown(text, config.vault_figures_dir)
@@ -115,7 +157,7 @@ def _names(spark: SparkSession, pattern: str) -> DataFrame:
     import glob
     import os
 
-    rows = [(p, os.path.basename(p)) for p in sorted(glob.glob(pattern)) if os.path.isfile(p)]
+    rows = [(os.path.abspath(p), os.path.basename(p)) for p in sorted(glob.glob(pattern)) if os.path.isfile(p)]
     return spark.createDataFrame(rows, "path string, name string")
 
 

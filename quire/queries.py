@@ -595,16 +595,45 @@ def pdf_page_ids(spark, sf_dir):
 @query(_NUMBERED.replace(NUMBERS, "text") + f"select doc_id::varchar as doc_id, 'p' || doc_id as page_id, length({re_(CLEANED, *TABLES)})::bigint as chars, 'ok' as status from r")
 def stream_ingest(spark, sf_dir):
     """documents as a stream of page files: parts as the batches leave them."""
-    import tempfile
-    import uuid
-
+    from quire.operators.keep import scratch
     from quire.sources import files
     from quire.streaming import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     raw = _raw(_docs(spark, sf_dir, "text"), ord=F.col("doc_id").cast("int"))
     raw = raw.select("doc_id", "page_id", "ord", F.lit("s").alias("source"), F.lit("text").alias("method"), "raw_text", F.lit(0.5).alias("t_ocr"), "error", "no_layout")
     raw.write.parquet(f"{folder}/in")
     ingest.write_parts(ingest.page_stream(spark, f"{folder}/in"), Config(keep_html=True), f"{folder}/parts", f"{folder}/state").awaitTermination()
     return files.read_parts(spark, f"{folder}/parts").select("doc_id", "page_id", "chars", "status")
+
+
+@query(ORACLE_SQL["assemble_books"])
+def stream_books(spark, sf_dir):
+    """assemble_books from a stream of pages that come in any order, in several batches."""
+    from quire.operators.keep import scratch
+    from quire.streaming import assembly
+
+    folder, book = scratch(spark, "books"), Window.partitionBy("doc_id")  # 500 pages at most
+    docs = _table(spark, sf_dir, "documents").withColumn("failed", F.col("doc_id") % 50 == 7)
+    page_id = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
+    block = F.when(F.col("failed"), pages.error_block(page_id, F.lit("timeout"))).otherwise(pages.page_block(page_id, F.col("text"), F.lit(None).cast("string")))
+    rows = docs.select(F.expr("concat(source, '-', cast(doc_id div 500 as string))").alias("doc_id"), page_id.alias("page_id"), F.col("doc_id").alias("ord"), block.alias("block"), F.when(F.col("failed"), "error").otherwise("ok").alias("status"))
+    rows = rows.withColumn("place", F.row_number().over(book.orderBy("ord")) - 1).withColumn("n_pages", F.count(F.lit(1)).over(book))
+    rows.repartition(4, F.xxhash64("page_id")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    assembly.write_books(stream, "text", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return assembly.read_books(spark, f"{folder}/out").withColumnRenamed("doc_id", "book")
+
+
+@query("""select (doc_id // 100)::varchar as file, row_number() over (partition by doc_id // 100 order by doc_id) as page, count(*) over (partition by doc_id // 100) as n_pages, md5(replace(coalesce(text, ''), chr(12), ' ')) as text_md5 from documents""")
+def paged_files(spark, sf_dir):
+    """documents written as files of 100 pages, and read as pages again by the tasks that open the files."""
+    from quire.operators.keep import scratch
+    from quire.sources import extract, filesink, paged
+
+    folder = scratch(spark, "paged")
+    rows = _table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("file"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("text"))
+    text = rows.groupBy("file").agg(F.expr("listagg(text, '\f') within group (order by doc_id)").alias("text"))
+    filesink.write_files(text.select(F.concat(F.col("file").cast("string"), F.lit(".pages")).alias("name"), F.encode("text", "utf-8").alias("content")), folder)
+    found = paged.read_files(spark, folder, extract.PlainText, "native", suffix=".pages", rangeBytes=1 << 20)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.pages\z", 1).alias("file"), F.col("page").cast("long").alias("page"), F.col("n_pages").cast("long").alias("n_pages"), F.md5("text").alias("text_md5"))

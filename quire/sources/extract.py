@@ -1,32 +1,37 @@
-"""Where page texts come from.  Recognition, layout and rendering are models of their own: they plug in as extractors."""
+"""Where page texts come from.  Recognition, layout and rendering are models of their own: they plug in as extractors.
+
+An extractor works in a process of its own (quire.sources.reader); tasks get paths and page numbers, never contents, and a file is opened where it is read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES_RAW = "doc_id string, page_id string, ord int, source string, method string, raw_text string, t_ocr double, error string, no_layout boolean"
-ATTEMPTS = 2
-
-
-class ExtractionError(Exception):
-    pass
+from quire.sources.reader import EmptyResult, ExtractionError, PageTimeout, Reader, Slot, packed, reader
 
+__all__ = ["EmptyResult", "ExtractionError", "PageTimeout"]
 
-class EmptyResult(ExtractionError):
-    """Worth another attempt."""
+logger = logging.getLogger(__name__)
 
-
-class PageTimeout(ExtractionError):
-    """Worth an attempt without layout detection."""
+PAGES_RAW = "doc_id string, page_id string, ord int, source string, method string, raw_text string, t_ocr double, error string, no_layout boolean"
+COLUMNS = [c.split()[0] for c in PAGES_RAW.split(", ")]
+ATTEMPTS = 2
+#: Pages of a file that a task reads in a row.
+CHUNK_PAGES = 32
 
 
 class Extractor(Protocol):
+    """content is None if the extractor has `opens_files`; methods that PDFs can be read by are named in `methods`."""
+
     method: str
+    methods: tuple[str, ...]
 
     def pages(self, path: str, content: bytes | None) -> int:
         """Number of pages of a file."""
@@ -37,138 +42,199 @@ class Extractor(Protocol):
     def native(self, path: str, content: bytes | None, page: int) -> str:
         """The text that a PDF itself holds, where it does; only asked for PDFs."""
 
-    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes]]:
-        """Name and content of a native page's figures."""
+    def docling(self, path: str, content: bytes | None, page: int) -> str:
+        """The page's Markdown by a converter, if there is one."""
+
+    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes | None]]:
+        """Name and content of a native page's figures; no content where one couldn't be cut out."""
 
+    def raster(self, path: str, content: bytes | None, page: int, dpi: int) -> bytes:
+        """The page as an image."""
 
-class Native:
-    """Reads PDFs by what they hold, with a tag for each figure."""
 
-    method, may_be_empty = "text", True
+class PlainText:
+    """Files of text with form feeds between pages."""
 
-    def __init__(self, make: Callable[[], Extractor]):
-        self.own = make()
+    method, methods = "plain", ("text",)
+
+    def __init__(self):
+        self.last: tuple[str, list[str]] = ("", [])
 
     def pages(self, path: str, content: bytes | None) -> int:
-        return self.own.pages(path, content)
+        return len(self._split(path, content))
 
     def text(self, path: str, content: bytes | None, page: int, layout: bool) -> str:
-        text = self.own.native(path, content, page)
-        tags = [f'<img src="imgs/figure_{i}.png" />' for i in range(len(self.own.figures(path, content, page)))] if layout else []
-        return f"{text}\n\n" + "\n".join(tags) if tags else text
+        return self.native(path, content, page)
+
+    def native(self, path: str, content: bytes | None, page: int) -> str:
+        return self._split(path, content)[page - 1]
+
+    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes | None]]:
+        return []
+
+    def raster(self, path: str, content: bytes | None, page: int, dpi: int) -> bytes:
+        return f"{dpi}:{self.native(path, content, page)}".encode()
 
+    def _split(self, path: str, content: bytes | None) -> list[str]:
+        if self.last[0] != path:
+            self.last = (path, (content or b"").decode("utf-8", "replace").split("\f"))
+        return self.last[1]
 
-class FakeExtractor:
-    """Takes the file for text with form feeds between pages; words in it make it fail on purpose."""
 
-    method = "fake"
+class FakeExtractor(PlainText):
+    """Words in the text make it fail on purpose, or have figures."""
+
+    method, methods = "fake", ("text", "docling")
 
     def pages(self, path: str, content: bytes | None) -> int:
-        return (content or b"").count(b"\f") + 1
+        if b"UNOPENABLE" in (content or b""):
+            raise ExtractionError("not a file of pages")
+        return super().pages(path, content)
 
     def text(self, path: str, content: bytes | None, page: int, layout: bool) -> str:
-        text = (content or b"").decode("utf-8", "replace").split("\f")[page - 1]
+        text = self.native(path, content, page)
         if "TIMEOUT" in text and layout:
             raise PageTimeout("page timeout")
-        if "BROKEN" in text:
-            raise ExtractionError("broken page")
+        if "HANG" in text and layout:
+            time.sleep(3600)
         return text
 
     def native(self, path: str, content: bytes | None, page: int) -> str:
-        text = (content or b"").decode("utf-8", "replace").split("\f")[page - 1]
+        text = super().native(path, content, page)
         if "BROKEN" in text:
             raise ExtractionError("broken page")
-        return text
+        if "CRASH" in text:
+            import os
 
-    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes]]:
-        return [("figure_0.png", b"png")] if "FIGURE" in self.native(path, content, page) else []
-
-
-def _in_time(read: Callable[[], str], seconds: float) -> str:
-    """What read() gives, or PageTimeout after so many seconds (0: none); a reader that hangs is left behind."""
-    import threading
-
-    if not seconds:
-        return read()
-    out: list = []
+            os._exit(3)
+        return text
 
-    def run():
-        try:
-            out.append((read(), None))
-        except Exception as e:
-            out.append((None, e))
+    def docling(self, path: str, content: bytes | None, page: int) -> str:
+        return f"## converted\n\n{self.native(path, content, page)}"
 
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if not out:
-        raise PageTimeout(f"no result in {seconds:g} seconds")
-    if out[0][1]:
-        raise out[0][1]
-    return out[0][0]
+    def figures(self, path: str, content: bytes | None, page: int) -> list[tuple[str, bytes | None]]:
+        text = self.native(path, content, page)
+        if "UNCUT" in text:
+            return [("figure_0.png", None)]
+        return [("figure_0.png", f"png of page {page}".encode())] if "FIGURE" in text else []
 
 
-def read_page(extractor: Extractor, path: str, content: bytes | None, page: int, layout: bool = True, timeout: float = 0) -> tuple[str | None, str | None, bool]:
+def read_page(own: Reader, path: str, page: int, layout: bool = True, timeout: float = 0) -> tuple[str | None, str | None, bool]:
     """(text, error, no_layout): empty results are tried again, a timeout without layout; nothing is raised."""
     for attempt in range(ATTEMPTS):
         try:
-            text = _in_time(lambda: extractor.text(path, content, page, layout), timeout)
-            if getattr(extractor, "may_be_empty", False):
-                return text, None, False
-            text = text.strip()
+            text = own.ask("text", path, page, layout, timeout=timeout).strip()
             if not text:
                 raise EmptyResult("empty result")
             return text, None, not layout
         except PageTimeout as e:
             if not layout:
                 return None, str(e), True
-            return read_page(extractor, path, content, page, layout=False, timeout=timeout)
+            return read_page(own, path, page, layout=False, timeout=timeout)
         except EmptyResult as e:
             if attempt + 1 == ATTEMPTS:
                 return None, str(e), not layout
-        except Exception as e:  # a page's failure is its own
-            return None, str(e) or type(e).__name__, not layout
+        except ExtractionError as e:
+            return None, str(e), not layout
     return None, "no attempt", not layout
 
 
-def page_list(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
-    """doc_id, path, page, page_id, ord of the pages of files (doc_id, path, stem, kind, ord, content)."""
+def read_native(own: Reader, path: str, page: int, how: str = "native", layout: bool = True, timeout: float = 0) -> tuple[str | None, list, str | None]:
+    """(text with a tag for each figure, figures as {name, content}, error); a page without its figures is better than none."""
+    try:
+        text = own.ask(how, path, page, timeout=timeout)
+    except ExtractionError as e:
+        return None, [], str(e)
+    try:
+        found = own.ask("figures", path, page, timeout=timeout) if layout else []
+    except ExtractionError as e:
+        logger.warning("%s, page %d: no figures: %s", path, page, e)
+        found = []
+    tags = "\n".join(f'<img src="imgs/figure_{i}.png" />' for i in range(len(found)))
+    files = [{"name": f"figure_{i}.png", "content": content} for i, (_, content) in enumerate(found) if content is not None]
+    return (f"{text}\n\n{tags}" if tags else text), files, None
 
-    def count(batches):
-        extractor = make()
-        for batch in batches:
-            batch["pages"] = [extractor.pages(p, c) if k != "image" else 1 for p, c, k in zip(batch["path"], batch["content"], batch["kind"], strict=True)]
-            yield batch[["doc_id", "path", "pages"]]
 
-    counted = files.select("doc_id", "path", "kind", "content").mapInPandas(count, "doc_id string, path string, pages int").where("pages > 0")
-    named = files.select("doc_id", "path", "stem", "kind", "ord").join(counted, ["doc_id", "path"]).withColumn("page", F.explode(F.sequence(F.lit(1), "pages")))
-    named = named.withColumn("page_id", F.when(F.col("kind") == "image", F.col("stem")).otherwise(F.format_string("%s_p%03d", "stem", "page")))
-    return named.select("doc_id", "path", "page", "page_id", F.when(F.col("kind") == "image", F.col("ord")).otherwise(F.col("page")).cast("int").alias("ord"))
+def bounded(master: str, cores: int, parallel: int):
+    """A profile by which an executor runs as many extracting tasks at once as extractors are allowed; None where that can't be or needn't be said."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 
+    if not parallel or parallel >= cores or master.startswith("local["):
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(-(-cores // parallel))).build
 
-def extract_pages(files: DataFrame, make: Callable[[], Extractor], done: DataFrame | None = None, layout: bool = True, timeout: float = 0) -> DataFrame:
-    """pages_raw of files (doc_id, path, stem, kind, ord, content).  make() builds a task's extractor, once per worker.
 
-    done (doc_id, page_id): pages that are left out before any is read.  timeout: seconds for a page; 0 for any number.
-    """
-    named = page_list(files, make)
-    if done is not None:
-        named = named.join(done.select("doc_id", "page_id").distinct(), ["doc_id", "page_id"], "left_anti")
-    named = named.join(files.select("doc_id", "path", "content"), ["doc_id", "path"])
+def _profile(spark: SparkSession, parallel: int):
+    return bounded(spark.sparkContext.master, int(spark.conf.get("spark.executor.cores", "0")), parallel)
 
-    def read(batches):
-        import time
 
-        extractor = make()
+def file_pages(files: DataFrame, make: Callable[[], Extractor], timeout: float = 0, parallel: int = 0) -> DataFrame:
+    """files (doc_id, path, stem, kind, ord) with n_pages, and error where a file can't be opened."""
+    own_make = packed(make)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = reader(own_make)
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                began = time.perf_counter()
-                text, error, no_layout = read_page(extractor, r.path, r.content, int(r.page), layout, timeout)
-                rows.append((r.doc_id, r.page_id, r.ord, r.path, extractor.method, text, time.perf_counter() - began, error, no_layout))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES_RAW.split(", ")])
+            for path in batch["path"]:
+                try:
+                    with Slot(parallel):
+                        rows.append((path, own.ask("pages", path, timeout=timeout), None))
+                except ExtractionError as e:
+                    rows.append((path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "n_pages", "error"]).astype({"n_pages": "Int32"})
 
-    return named.select("doc_id", "page_id", "ord", "path", "page", "content").mapInPandas(read, PAGES_RAW)
+    plain = files.select("doc_id", "path", "stem", "kind", "ord")
+    opened = plain.where("kind <> 'image'").select("path").distinct().mapInPandas(count, "path string, n_pages int, error string", profile=_profile(files.sparkSession, parallel))
+    return plain.join(opened, "path", "left").select("doc_id", "path", "stem", "kind", "ord", F.when(F.col("kind") == "image", 1).otherwise(F.col("n_pages")).alias("n_pages"), "error")
+
+
+def page_list(listed: DataFrame) -> DataFrame:
+    """doc_id, path, page, page_id, ord, file_ord of the pages of files that file_pages() has opened."""
+    image = F.col("kind") == "image"
+    named = listed.where("n_pages > 0").withColumn("page", F.explode(F.sequence(F.lit(1), "n_pages")))
+    named = named.withColumn("page_id", F.when(image, F.col("stem")).otherwise(F.format_string("%s_p%03d", "stem", "page")))
+    return named.select("doc_id", "path", "page", "page_id", F.when(image, F.col("ord")).otherwise(F.col("page")).cast("int").alias("ord"), F.col("ord").alias("file_ord"))
+
+
+def extract_pages(pages: DataFrame, make: Callable[[], Extractor], done: DataFrame | None = None, layout: bool = True, timeout: float = 0, parallel: int = 0, how: str = "", profile=None) -> DataFrame:
+    """pages_raw, and figures (name, content) of native pages.  pages: doc_id, path, page, page_id, ord.
+
+    done (doc_id, page_id): pages that are left out before any is read.  timeout: seconds for a page; 0 for any number.  parallel: extractors that work at once
+    on an executor; 0 for one in each task.  how: native or docling for what a PDF holds; recognition else.
+    """
+    if done is not None:
+        pages = pages.join(done.select("doc_id", "page_id").distinct(), ["doc_id", "page_id"], "left_anti")
+    chunk = F.expr(f"(page - 1) div {CHUNK_PAGES}").alias("chunk")
+    # a chunk's pages, CHUNK_PAGES at most, are read from a file that is opened once
+    dealt = pages.groupBy("doc_id", "path", chunk).agg(F.array_sort(F.collect_list(F.struct("page", "page_id", "ord"))).alias("pages"))
+    own_make = packed(make)
+
+    def read(batches) -> Iterator:
+        import pyarrow as pa
+
+        figure = pa.struct([("name", pa.string()), ("content", pa.binary())])
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAGES_RAW.split(", ")] + [("figures", pa.list_(figure))])
+        own = reader(own_make)
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = []
+                with Slot(parallel):
+                    own.warm()
+                    for p in r["pages"]:
+                        began, figures = time.perf_counter(), []
+                        if how:
+                            text, figures, error = read_native(own, r["path"], p["page"], how, layout, timeout)
+                            no_layout, method = False, "text" if how == "native" else how
+                        else:
+                            text, error, no_layout = read_page(own, r["path"], p["page"], layout, timeout)
+                            method = own.method
+                        rows.append(dict(zip(COLUMNS, (r["doc_id"], p["page_id"], p["ord"], r["path"], method, text, time.perf_counter() - began, error, no_layout), strict=True)) | {"figures": figures})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    plan = dealt.select("doc_id", "path", "pages")
+    return plan.mapInArrow(read, f"{PAGES_RAW}, figures array<struct<name:string,content:binary>>", profile=profile or _profile(plan.sparkSession, parallel))
 
 
 #: Pages sampled of a PDF, and mean words that make it a text PDF.
@@ -190,25 +256,29 @@ def classify(pages: DataFrame, *by: str) -> DataFrame:
     return found.withColumn("class", F.when(F.col("avg_words") >= LEAST_WORDS, "text").otherwise("image"))
 
 
-def pdf_classes(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
-    """doc_id, class (text or image) of PDFs, by the words that a sample of their pages holds; those without a page are images."""
-    pdfs = files.where("kind = 'pdf'").select("doc_id", "path", "content")
+def pdf_classes(listed: DataFrame, make: Callable[[], Extractor], timeout: float = 0, parallel: int = 0) -> DataFrame:
+    """doc_id, path, class (text or image) of PDFs that file_pages() has listed, by the words that a sample of their pages holds; those without a page are images."""
+    pdfs = listed.where("kind = 'pdf'").select("doc_id", "path", "n_pages")
+    looked = pdfs.where("n_pages > 0").select("doc_id", "path", "n_pages", F.explode(sample_pages(F.col("n_pages"))).alias("at"))
+    own_make = packed(make)
 
-    def look(batches):
-        extractor = make()
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = reader(own_make)
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                n = extractor.pages(r.path, r.content)
-                for at in range(n) if n <= SAMPLED else [i * (n - 1) // (SAMPLED - 1) for i in range(SAMPLED)]:
+                for at in r.ats:
                     try:
-                        rows.append((r.doc_id, at, n, extractor.native(r.path, r.content, at + 1)))
-                    except Exception:  # a page that can't be read has no words
-                        rows.append((r.doc_id, at, n, ""))
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "n_pages", "text"])
-
-    found = classify(pdfs.mapInPandas(look, "doc_id string, at int, n_pages int, text string"), "doc_id")
-    return pdfs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class", F.lit("image")).alias("class"))
+                        with Slot(parallel):
+                            rows.append((r.doc_id, r.path, int(at), int(r.n_pages), own.ask("native", r.path, int(at) + 1, timeout=timeout)))
+                    except ExtractionError:  # a page that can't be read has no words
+                        rows.append((r.doc_id, r.path, int(at), int(r.n_pages), ""))
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "at", "n_pages", "text"])
+
+    dealt = looked.groupBy("doc_id", "path", "n_pages").agg(F.collect_list("at").alias("ats"))
+    read = dealt.mapInPandas(look, "doc_id string, path string, at int, n_pages int, text string", profile=_profile(listed.sparkSession, parallel))
+    found = classify(read, "doc_id", "path")
+    return pdfs.select("doc_id", "path").distinct().join(found, ["doc_id", "path"], "left").select("doc_id", "path", F.coalesce("class", F.lit("image")).alias("class"))
 
 
 def resolve_method(asked: Column, pdf_class: Column, force_ocr: Column | bool = False, has_docling: bool = False) -> Column:

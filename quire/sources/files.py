@@ -134,16 +134,41 @@ def write_book(markdown: str, path: str) -> str:
     return path
 
 
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """wanted (stem, ext and any others; stems differ) with name: stem.ext, or with the least number behind the stem that neither taken (name) nor a wanted stem has."""
+    whole = taken.select(stem(F.col("name")).alias("own"), F.regexp_extract("name", r"(\.[^.]*)\z", 1).alias("ext")).union(wanted.select("stem", "ext"))
+    numbered = whole.select(F.regexp_extract("own", r"\A(?s:(.+))_([1-9][0-9]{0,8})\z", 1).alias("stem"), "ext", F.regexp_extract("own", r"_([1-9][0-9]{0,8})\z", 1).try_cast("int").alias("n")).where("n is not null and stem <> ''")
+    plain = taken.select(stem(F.col("name")).alias("stem"), F.regexp_extract("name", r"(\.[^.]*)\z", 1).alias("ext"), F.lit(0).alias("n"))
+    used = numbered.union(plain).groupBy("stem", "ext").agg(F.collect_set("n").alias("used"))
+    free = F.element_at(F.array_except(F.sequence(F.lit(0), F.size("used")), "used"), 1)
+    number = F.coalesce(F.when(F.array_contains("used", 0), free), F.lit(0))
+    return wanted.join(used, ["stem", "ext"], "left").select(*wanted.columns, F.concat("stem", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), "ext").alias("name"))
+
+
+def write_books(books: DataFrame, path: str, single: bool) -> DataFrame:
+    """Writes books (doc_id, markdown) beside path, from the tasks that have them, and gives doc_id and name: path's own if it is the only one, else with -doc_id behind its stem; never over a file that is there."""
+    from quire.operators.keep import kept
+    from quire.sources.filesink import write_files
+
+    spark = books.sparkSession
+    folder, (own, ext) = os.path.dirname(path) or ".", os.path.splitext(os.path.basename(path))
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+    named = books.select("doc_id", F.lit(own).alias("stem") if single else F.concat(F.lit(f"{own}-"), "doc_id").alias("stem"), F.lit(ext).alias("ext"))
+    store, path_ = _store(spark, folder)
+    taken = [(x.getPath().getName(),) for x in store.listStatus(path_(folder))] if store.exists(path_(folder)) else []
+    names = kept(free_names(named, spark.createDataFrame(taken, "name string")).select("doc_id", "name"))
+    write_files(books.join(names, "doc_id").select("name", F.encode("markdown", "utf-8").alias("content")), folder)
+    return names
+
+
 def copy_figures(plan: DataFrame, target: str, dry_run: bool = False) -> int:
-    """Copies a migration plan's files; the number of them."""
-    if not dry_run:
-        os.makedirs(target, exist_ok=True)
-    n = 0
-    for r in plan.select("path", "name").orderBy("path").toLocalIterator():
-        if not dry_run:
-            shutil.copy2(local(r["path"]), os.path.join(target, r["name"]))
-        n += 1
-    return n
+    """Copies a migration plan's files, from the tasks that list them; the number of them."""
+    from quire.sources.filesink import write_files
+
+    if dry_run:
+        return plan.count()
+    return write_files(plan.select("name", F.col("path").alias("source")), target)
 
 
 def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
@@ -151,43 +176,67 @@ def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("markdown"))
 
 
-def write_parts(parts: DataFrame, folder: str, batch: int | None = None) -> None:
-    """Adds parts as files of their own, in a folder with the batch's number; nothing that is there is read or written anew.
+def write_parts(parts: DataFrame, folder: str, batch: int | None = None) -> str:
+    """Adds parts as files of their own, in a folder with the batch's number; nothing that is there is read or written anew.  Gives that folder.
 
-    A page may come again: read_parts() takes what came last.  A numbered batch that comes again replaces its own files; without a number it is the next.
+    A page may come again: read_parts() takes what came last.  A numbered batch that comes again replaces its own files.  Without a number, parts are written
+    aside first; then the batch claims the next number, which it shares with no other run, so batches are in the order in which they were complete.
     """
+    folder = folder.rstrip("/")
+    if batch is not None:
+        parts.write.mode("overwrite").parquet(out := f"{folder}/batch={batch:012d}")
+        return out
     spark = parts.sparkSession
-    if batch is None:
-        batch = 1 + max([-1, *_batches(spark, folder)])
-    parts.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch:012d}")
+    parts.write.parquet(aside := f"{folder}/_aside-{uuid.uuid4().hex}")
+    store, path = _store(spark, folder)
+    n = 1 + max([-1, *_batches(spark, folder)])
+    while True:
+        claim, out = path(f"{folder}/_claimed-{n:012d}"), f"{folder}/batch={n:012d}"
+        if store.createNewFile(claim):
+            if not store.exists(path(out)):
+                break
+            store.delete(claim, False)  # its batch came between
+        n += 1
+    store.rename(path(aside), path(out))
+    store.delete(claim, False)
+    return out
+
+
+def _store(spark: SparkSession, folder: str):
+    """The folder's file system, and what makes its paths."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    store, path = _store(spark, folder)
+    store.delete(path(folder), True)
 
 
 def _batches(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the batches in folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
+    store, path = _store(spark, folder)
+    if not store.exists(path(folder)):
         return []
-    names = [x.getPath().getName() for x in store.listStatus(path)]
+    names = [x.getPath().getName() for x in store.listStatus(path(folder))]
     return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
 
 
 def read_parts(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Each page's latest part; None where no part is."""
+    """Each page's parts of the latest batch that has any, which are several where sources share a name; None where no part is."""
     if not _batches(spark, folder):
         return None
     every = spark.read.parquet(folder)
     columns = [c for c in every.columns if c != "batch"]
-    latest = every.groupBy("doc_id", "page_id").agg(F.max_by(F.struct(*columns), "batch").alias("p"))
-    return latest.select("p.*")
+    last = every.groupBy("doc_id", "page_id", "batch").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    last = last.groupBy("doc_id", "page_id").agg(F.max_by("rows", "batch").alias("rows"))
+    return last.select(F.explode("rows").alias("p")).select("p.*")
 
 
 def compact_parts(spark: SparkSession, folder: str) -> None:
-    """Writes each page's latest part into one batch, which counts before the others go; to be run while no batch is written."""
+    """Writes each page's latest parts into one batch, which counts before the others go; to be run while no batch is written."""
     old = _batches(spark, folder)
     if len(old) > 1:
         write_parts(read_parts(spark, folder), folder)
         for n in old:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/batch={n:012d}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop(spark, f"{folder.rstrip('/')}/batch={n:012d}")

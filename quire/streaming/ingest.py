@@ -20,7 +20,9 @@ def write_parts(stream: DataFrame, config: Config, parts_folder: str, checkpoint
     """Cleans each batch and writes its parts; a batch that comes again replaces its own, and of a page's parts the latest counts (files.read_parts)."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        files.write_parts(pages.page_parts(rows.dropDuplicates(["doc_id", "page_id"]), config), parts_folder, number)
+        # of a page that comes twice in a batch the last by its source and text counts
+        last = rows.groupBy("doc_id", "page_id").agg(F.max_by(F.struct(*extract.COLUMNS), F.struct("source", "raw_text", "error", "t_ocr")).alias("r")).select("r.*")
+        files.write_parts(pages.page_parts(last, config), parts_folder, number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

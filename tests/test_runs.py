@@ -57,18 +57,23 @@ def test_never_overwrite(tmp_path):
     assert open(path).read() == "a"
 
 
-def sources(spark, texts):
-    rows = [("book", f"/{n}.jpg" if "\f" not in t else f"/{n}.pdf", n, "pdf" if "\f" in t else "image", i, bytearray(t.encode())) for i, (n, t) in enumerate(texts.items())]
-    return spark.createDataFrame(rows, "doc_id string, path string, stem string, kind string, ord int, content binary")
+def sources(spark, folder, texts):
+    folder.mkdir(parents=True, exist_ok=True)
+    rows = []
+    for i, (n, t) in enumerate(texts.items()):
+        path = folder / (f"{n}.pdf" if "\f" in t else f"{n}.jpg")
+        path.write_text(t)
+        rows.append(("book", f"file:{path}", n, path.suffix[1:].replace("jpg", "image"), i))
+    return spark.createDataFrame(rows, "doc_id string, path string, stem string, kind string, ord int")
 
 
 def test_run_and_resume(spark, tmp_path):
     config = Config(keep_html=True)
-    rows = sources(spark, {"a": "12\ncondi-\ntion", "b": "BROKEN", "c": "slow TIMEOUT page", "d": ""})
+    rows = sources(spark, tmp_path / "s", {"a": "12\ncondi-\ntion", "b": "BROKEN", "c": "slow TIMEOUT page", "d": ""})
     parts = str(tmp_path / "parts")
     metrics = {r["name"]: r for r in runs.recognise(spark, config, rows, extract.FakeExtractor, parts).collect()}
     assert {n: (r["error"], r["no_layout"]) for n, r in metrics.items()} == {"a": (False, False), "b": (True, False), "c": (False, True), "d": (True, False)}
-    more = sources(spark, {"a": "changed", "e": "new page"})
+    more = sources(spark, tmp_path / "t", {"a": "changed", "e": "new page"})
     assert [r["name"] for r in runs.recognise(spark, config, more, extract.FakeExtractor, parts).collect()] == ["e"]
     kept = files.read_parts(spark, parts)
     assert sorted((r["page_id"], r["status"]) for r in kept.collect()) == [("a", "ok"), ("b", "error"), ("c", "fallback"), ("d", "error"), ("e", "ok")]
@@ -80,9 +85,9 @@ def test_run_and_resume(spark, tmp_path):
     assert (book["n_pages"], book["n_errors"]) == (5, 2)
 
 
-def test_pdf_pages(spark):
-    rows = sources(spark, {"f": "one\ftwo\fthree"})
-    raw = extract.extract_pages(rows, extract.FakeExtractor)
+def test_pdf_pages(spark, tmp_path):
+    rows = sources(spark, tmp_path, {"f": "one\ftwo\fthree"})
+    raw = extract.extract_pages(extract.page_list(extract.file_pages(rows, extract.FakeExtractor)), extract.FakeExtractor)
     assert sorted((r["page_id"], r["ord"], r["raw_text"]) for r in raw.collect()) == [("f_p001", 1, "one"), ("f_p002", 2, "two"), ("f_p003", 3, "three")]
     assert sorted(r["page_label"] for r in pages.text_parts(raw).collect()) == ["1", "2", "3"]
 
@@ -205,7 +210,7 @@ def test_config_and_cli(spark, tmp_path):
     assert "| Skipped (resume) | 2 |" in open(tmp_path / "r.md").read()
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "c.jpg").write_text("BROKEN")
-    assert cli.main(["--images", str(tmp_path / "bad"), "--out", str(tmp_path / "none" / "book.md"), *more]) == 2
+    assert cli.main(["--images", str(tmp_path / "bad"), "--out", str(tmp_path / "none" / "book.md"), *more, "--log", str(tmp_path / "bad" / "run.log")]) == 2
     assert not os.path.exists(tmp_path / "none" / "book.md")
 
 
@@ -255,7 +260,7 @@ def test_text_pdfs_on_the_command_line(spark, tmp_path):
     for kind, text in (("text", words), ("image", "few\fwords")):
         (tmp_path / kind).mkdir()
         (tmp_path / kind / "b.pdf").write_text(text)
-        more = ["--method", "text", "--extractor", "quire.sources.extract:FakeExtractor", "--report", str(tmp_path / "r.md"), "--log", str(tmp_path / "l")]
+        more = ["--method", "text", "--extractor", "quire.sources.extract:FakeExtractor", "--report", str(tmp_path / "r.md"), "--log", str(tmp_path / kind / "out" / "l")]
         assert cli.main(["--images", str(tmp_path / kind), "--out", str(tmp_path / kind / "out" / "b.md"), *more]) == (2 if kind == "text" else 0)
     book = open(tmp_path / "text" / "out" / "b.md").read()
     line = "plain words of a page that has many of them, more than twenty in all, so that " * 2
@@ -284,18 +289,3 @@ def test_lists_and_timeouts(spark, tmp_path):
             files.collect_sources(spark, bad, EXT, documents=False)
     with pytest.raises(files.SourceError, match="not found"):
         files.collect_sources(spark, folder, EXT, (f"{folder}/a.jpg", f"{folder}/gone.jpg"))
-
-    class Slow(extract.FakeExtractor):
-        def text(self, path, content, page, layout):
-            time.sleep(2 if layout else 0)
-            return "late"
-
-    assert extract.read_page(Slow(), "p", b"", 1, timeout=0.2) == ("late", None, True)
-    assert extract.read_page(extract.FakeExtractor(), "p", b"BROKEN", 1, timeout=5) == (None, "broken page", False)
-    empty = sources(spark, {"z": ""}).selectExpr("* except (kind)", "'pdf' as kind")
-
-    class NoPages(extract.FakeExtractor):
-        def pages(self, path, content):
-            return 0
-
-    assert [(r["doc_id"], r["class"]) for r in extract.pdf_classes(empty, NoPages).collect()] == [("book", "image")]
