@@ -32,9 +32,11 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "type string, headers array<struct<name:string,value:string>>, block binary"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|section|article|header|footer|nav|main|aside|blockquote|pre|form|figure|figcaption|title|head|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
+#: The rest of a tag: a quoted value may hold the sign that ends it.
+_REST = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+>"""
+_DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b{_REST}.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAK = re.compile(rf"</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|section|article|header|footer|nav|main|aside|blockquote|pre|form|figure|figcaption|title|head|body|html)\b{_REST}", re.I)
+_TAG = re.compile(rf"</?[a-zA-Z]{_REST}|<[!?][^>]*>")
 _SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -167,13 +169,14 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     def run(batches) -> Iterator:
         from pyspark import TaskContext
 
-        path, out, n = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", io.BytesIO(), 0
+        path, out, n = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0
         for batch in batches:
             for kind, headers, block in zip(batch["type"], batch["headers"], batch["block"], strict=True):
-                out.write(gzip.compress(to_bytes(kind, [(h["name"], h["value"]) for h in headers], block), 6, mtime=0))
+                out = out or _base.NewFile(path)
+                out.put(gzip.compress(to_bytes(kind, [(h["name"], h["value"]) for h in headers], block), 6, mtime=0))
                 n += 1
-        if n:
-            _base.put_file(path, out.getvalue())
+        if out:
+            out.close()
             yield pd.DataFrame({"path": [path], "records": [n]})
 
     return _base.cut(records.select("type", "headers", "block").mapInPandas(run, "path string, records long"))
