@@ -5,59 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import DIGIT, LOWER, SPACE, WORD, bind, chain, strip, sub
+from quire.functions.loops import collapse_loops
+from quire.functions.regex import DIGIT, LOWER, SPACE, WORD, bind, strip, sub
 
 #: What a rule looks for, and what it leaves.
 PAGE_NUMBER_LINE = (rf"(?md)(?U)^{SPACE}*{DIGIT}{{1,3}}{SPACE}*$", "")
 HYPHEN_AT_LINE_END = (rf"({WORD})-\n({WORD})", "$1$2")
 HYPHEN_AT_PARAGRAPH_END = (rf"({WORD})-\n\n([{LOWER}])", "$1$2")
-LOOP = (r"(?d)(.{15,}?)\1{2,}", "$1")
-LOOP_UNIT = 15
 HYPHEN_IN_LINE = (rf"({WORD})- ({WORD})", "$1$2")
 PARAGRAPH_IN_SENTENCE = (rf"([{LOWER},])\n\n(\(|[{LOWER}\p{{Nd}}])", "$1 $2")
 BLANK_LINES = (r"\n{3,}", "\n\n")
 
 
+def _where(text: Column, literal: str, rule: tuple[str, str]) -> Column:
+    """The rule where the text holds the literal that each match of it does, which most texts don't: a search for it takes a fraction of the pattern's time."""
+    return bind(text, lambda t: F.when(t.contains(literal), sub(t, *rule)).otherwise(t))
+
+
 def remove_page_numbers(text: Column) -> Column:
     """Drops lines of one to three digits, with the blank lines about them."""
     return sub(text, *PAGE_NUMBER_LINE)
 
 
 def rejoin_line_hyphens(text: Column) -> Column:
-    return sub(text, *HYPHEN_AT_LINE_END)
+    return _where(text, "-\n", HYPHEN_AT_LINE_END)
 
 
 def rejoin_paragraph_hyphens(text: Column) -> Column:
     """Across a blank line, where a small letter follows: no title does."""
-    return sub(text, *HYPHEN_AT_PARAGRAPH_END)
+    return _where(text, "-\n\n", HYPHEN_AT_PARAGRAPH_END)
 
 
 def rejoin_inline_hyphens(text: Column) -> Column:
-    return sub(text, *HYPHEN_IN_LINE)
+    return _where(text, "- ", HYPHEN_IN_LINE)
 
 
 def join_paragraphs(text: Column) -> Column:
     """Joins a paragraph that breaks off in a sentence to the next."""
-    return sub(text, *PARAGRAPH_IN_SENTENCE)
+    return _where(text, "\n\n", PARAGRAPH_IN_SENTENCE)
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    return sub(text, *BLANK_LINES)
-
-
-def collapse_loops(text: Column) -> Column:
-    """Leaves one of three or more repeats of a part of 15 characters or more, within a line.
-
-    The pattern takes time that grows with the square of a line; a line can only match if the start of some part occurs
-    three times, so lines with fewer than two repeated starts skip it.  Lines part at \\n alone, which the pattern doesn't cross.
-    """
-
-    def mend(line: Column) -> Column:
-        hashes = bind(F.split(line, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - LOOP_UNIT + 1), lambda i: F.xxhash64(F.slice(c, i, LOOP_UNIT))))
-        repeated = bind(hashes, lambda h: F.size(h) - F.size(F.array_distinct(h)) >= 2)
-        return F.when((F.length(line) >= 3 * LOOP_UNIT) & repeated, sub(line, *LOOP)).otherwise(line)
-
-    return F.when(F.length(text) >= 3 * LOOP_UNIT, F.array_join(F.transform(F.split(text, "\n", -1), mend), "\n")).otherwise(text)
+    return _where(text, "\n\n\n", BLANK_LINES)
 
 
 def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: bool = True, hyphens: bool = True, blank_lines: bool = True) -> Column:
@@ -65,12 +54,12 @@ def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: boo
     if page_numbers:
         text = remove_page_numbers(text)
     if hyphens:
-        text = chain(text, [HYPHEN_AT_LINE_END, HYPHEN_AT_PARAGRAPH_END])
+        text = rejoin_paragraph_hyphens(rejoin_line_hyphens(text))
         if no_layout is True:
             text = collapse_loops(text)
         elif isinstance(no_layout, Column):
-            text = F.when(no_layout, collapse_loops(text)).otherwise(text)
-        text = chain(text, [HYPHEN_IN_LINE, PARAGRAPH_IN_SENTENCE])
+            text = collapse_loops(text, no_layout)
+        text = join_paragraphs(rejoin_inline_hyphens(text))
     if blank_lines:
         text = collapse_blank_lines(text)
     return strip(text)

@@ -16,8 +16,17 @@ BOXES = "array<struct<label:string,score:double,bbox:array<double>>>"
 
 
 def parse_boxes(layout: Column) -> Column:
-    """Boxes of a layout result in JSON."""
-    return F.from_json(layout, f"res struct<boxes:{BOXES}>")["res"]["boxes"]
+    """Boxes of a layout result in JSON, whatever else it holds; a result that is a text itself is read as JSON again.
+
+    Without a result there are no boxes; a field that is missing or isn't what it should be is null.  What isn't JSON has null for boxes.
+    """
+    get = F.try_variant_get
+    result = F.try_parse_json(layout)
+    text = get(result, "$.res", "string")
+    inner = F.when(F.startswith(F.schema_of_variant(get(result, "$.res", "variant")), F.lit("STRING")), F.try_parse_json(text)).otherwise(get(result, "$.res", "variant"))
+    found = F.coalesce(get(inner, "$.boxes", "array<variant>"), F.array().cast("array<variant>"))
+    box = lambda b: F.struct(get(b, "$.label", "string").alias("label"), get(b, "$.score", "double").alias("score"), get(b, "$.bbox", "array<double>").alias("bbox"))
+    return F.when(result.isNotNull(), F.transform(found, box))
 
 
 def figure_boxes(boxes: Column) -> Column:

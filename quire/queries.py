@@ -111,6 +111,19 @@ def collapse_loops(spark, sf_dir):
     return _each(spark, sf_dir, "text", clean.collapse_loops)
 
 
+_LOOP_UNIT = "source || '-' || lpad(doc_id::varchar, 12, '0') || lang"
+
+
+@query(f"""with d as (select doc_id, {_LOOP_UNIT} as unit, doc_id % 7 as times, doc_id % 5 as rest, lang from documents)
+select doc_id, 'Start: ' || (case when times >= 3 then unit else repeat(unit, times::int) end) || '|' || left(unit, rest::int) || chr(10) || repeat('=', case when doc_id % 3 = 0 then 15 else 44 end) || chr(10) || upper(lang) as text from d""")
+def planted_loops(spark, sf_dir):
+    """Repeats of known length in every row: none to six times a part, and lines of one character below and above what counts."""
+    d, unit = F.col("doc_id"), F.concat("source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), "lang")
+    rule = F.expr("repeat('=', if(doc_id % 3 = 0, 60, 44))")
+    text = F.concat(F.lit("Start: "), F.call_function("repeat", unit, (d % 7).cast("int")), F.lit("|"), F.left(unit, (d % 5).cast("int")), F.lit("\n"), rule, F.lit("\n"), F.upper("lang"))
+    return _table(spark, sf_dir, "documents").select("doc_id", clean.collapse_loops(text).alias("text"))
+
+
 @query(_sql(TAGS, re_("text", *TABLES)))
 def strip_table_styles(spark, sf_dir):
     return _each(spark, sf_dir, TAGS, markup.strip_table_styles)
@@ -637,3 +650,20 @@ def paged_files(spark, sf_dir):
     filesink.write_files(text.select(F.concat(F.col("file").cast("string"), F.lit(".pages")).alias("name"), F.encode("text", "utf-8").alias("content")), folder)
     found = paged.read_files(spark, folder, extract.PlainText, "native", suffix=".pages", rangeBytes=1 << 20)
     return found.select(F.regexp_extract("path", r"([0-9]+)\.pages\z", 1).alias("file"), F.col("page").cast("long").alias("page"), F.col("n_pages").cast("long").alias("n_pages"), F.md5("text").alias("text_md5"))
+
+
+@query("""select doc_id, case doc_id % 5 when 0 then 'image' when 1 then 'chart' when 3 then 'table' when 4 then null else '' end as labels,
+ case when doc_id % 5 in (0, 1, 3) then doc_id + 0.5 end::double as x from documents""")
+def layout_results(spark, sf_dir):
+    """Figures of layout results as they come: plain, with more fields, without boxes, as a text within JSON, and no JSON at all."""
+    d = F.col("doc_id").cast("string")
+    box = lambda label, score, more="": F.concat(F.lit(f'{{"label":"{label}",{more}"score":{score},"bbox":['), d, F.lit(".5,1,2,3]}"))
+    plain = F.concat(F.lit('{"res":{"boxes":['), box("image", "0.9"), F.lit(","), box("text", "0.9"), F.lit("]}}"))
+    more = F.concat(F.lit('{"page":7,"res":{"own":{"a":[1]},"boxes":['), box("chart", "0.6", '"cls":3,'), F.lit(","), box("chart", "0.5"), F.lit(',{"label":8}]}}'))
+    none = F.when(F.col("doc_id") % 2 == 0, '{"res":{}}').otherwise('{"boxes":[1]}')
+    text = F.concat(F.lit('{"res":"'), F.replace(F.concat(F.lit('{"boxes":['), box("table", '"0.75"'), F.lit(',{"label":"image"}]}')), F.lit('"'), F.lit('\\"')), F.lit('"}'))
+    result = F.when(d.isNull(), None)
+    for k, shape in enumerate((plain, more, none, text, F.concat(F.lit('{"res":'), d))):
+        result = result.when(F.col("doc_id") % 5 == k, shape)
+    found = figures.figure_boxes(figures.parse_boxes(result))
+    return _table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", F.array_join(F.transform("f", lambda b: b["label"]), " ").alias("labels"), F.try_element_at("f", F.lit(1))["bbox"][0].alias("x"))

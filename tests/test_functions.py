@@ -1,13 +1,14 @@
 """Column functions against plain Python, on cases by hand and on random texts."""
 
 import random
+import time
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import clean, epub, formats, html, markup, math, pages
+from quire.functions import clean, epub, formats, html, loops, markup, math, pages
 from quire.functions.regex import split_lines, strip
 
 
@@ -59,6 +60,48 @@ def test_loops(spark):
     assert run(spark, lambda c: clean.clean_page(c, no_layout=F.lit(False)), t) == [py_clean(x) for x in t]
 
 
+LAZY = re.compile(r"(.{15,}?)\1{2,}")
+
+
+def test_repeats_of_random_lines():
+    """100,000 lines of few letters, with repeats planted, next to one another, inside one another and cut off."""
+    r = random.Random(8)
+
+    def line():
+        kind = r.random()
+        if kind < 0.3:
+            return "".join(r.choice("ab") for _ in range(r.randint(0, 90)))
+        unit = "".join(r.choice("abc é😀") for _ in range(r.randint(1, 24)))
+        if kind < 0.5:
+            unit = unit[: r.randint(1, 8)] * r.randint(1, 4) + unit
+        return "".join(unit * r.randint(0, 5) + unit[: r.randint(0, len(unit))] + r.choice(["", "x", "ab"]) for _ in range(r.randint(1, 3)))
+
+    lines = [line() for _ in range(100_000)]
+    some = [LAZY.sub(r"\1", x) for x in lines]
+    assert loops.collapse(lines) == some and sum(a != b for a, b in zip(lines, some, strict=True)) > 10_000
+    whole = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)]
+    assert loops.collapse(whole) == ["\n".join(some[i : i + 7]) for i in range(0, len(lines), 7)]
+    assert loops.collapse([]) == [] and loops.collapse(["", "\n", "x" * 45]) == ["", "\n", "x" * 15]
+
+
+def test_repeats_of_long_lines_take_no_time():
+    """Lines on which the pattern would take minutes."""
+    began = time.perf_counter()
+    thue = "a"
+    while len(thue) < 60_000:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    r = random.Random(2)
+    noise = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    unit = noise[:5000]
+    assert loops.collapse([thue, noise, noise + unit * 3 + "x", "ab" * 100_000]) == [thue, noise, noise + unit + "x", "ab" * 8]
+    assert time.perf_counter() - began < 60
+
+
+def test_loops_reach_python_only_where_they_must(spark):
+    df = spark.createDataFrame([("z" * 60, True), ("z" * 60, False), (None, True), ("short", True)], "t string, only boolean")
+    assert [x[0] for x in df.select(loops.collapse_loops(F.col("t"), F.col("only"))).collect()] == ["z" * 15, "z" * 60, None, "short"]
+
+
 def py_math_spacing(t):
     out, tokens = [], re.findall(r"\$+|[^$]+", t)
     lone = [i for i, x in enumerate(tokens) if x == "$"]

@@ -9,7 +9,7 @@ import pytest
 from quire.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"collision_names", "html_to_markdown", "page_pipeline_markdown"}
+PYTHON = {"collapse_loops", "planted_loops", "page_pipeline", "collision_names", "html_to_markdown", "page_pipeline_markdown"}
 
 
 def plan(df):
