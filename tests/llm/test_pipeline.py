@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quire.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from tests.llm.test_packing import check
@@ -40,11 +42,38 @@ def test_run(spark):
     assert 0 < rows.select("doc_id").distinct().count() < 200
 
 
+HOSTILE = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", None), (2, "a b c", None, "s", None), (3, "own words of a text that no other has " * 5, "en", "s", 190)]
+CLASHING = ["score", "predicted", "held_out", "lines_removed", "key", "line", "fingerprint", "component_id", "fp", "root", "item_id", "piece", "length", "sequence_id"]
+
+
 def test_empty_tables_and_nulls(spark):
+    """What each stage leaves of rows with nulls, repeated and empty ones; rows of no words are alike, so one of them stays."""
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
-    hostile = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", None), (2, "a b c", None, "s", None)], schema)
+    hostile, kept = spark.createDataFrame(HOSTILE, schema), {}
     for docs in (hostile, hostile.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
-            out.collect()
-            docs = out if out.schema["doc_id"].dataType == schema["doc_id"].dataType and "text" in out.columns else docs
+            kept.setdefault(name, []).append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()))
+            if name != "packing":
+                assert out.columns == schema.names and [f.dataType for f in out.schema] == [f.dataType for f in schema]
+                docs = out
+    every = [(False, 1), (False, 2), (False, 2), (False, 3), (True, 0)]
+    assert kept["toxicity"] == [every, []] and kept["line_dedup"] == [every, []]
+    assert kept["simhash"] == kept["decontaminate"] == kept["packing"] == [[(False, 1), (False, 2), (False, 3)], []]
+
+
+def test_columns_that_clash(spark):
+    """Columns of the stages' own names come through each stage as they are."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame(HOSTILE, schema)
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(f"own {i}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "packing":
+            assert sorted(r["doc_id"] for r in rows if r["doc_id"]) == [1, 2, 2, 3] and all(r["piece"] == 0 for r in rows)
+        else:
+            lost = {"toxicity": {"held_out", "score", "predicted"}, "line_dedup": {"lines_removed"}}.get(name, set())
+            assert [c for c in docs.columns if c not in lost] == [c for c in out.columns if c not in lost], name
+            assert all(r[c] == f"own {i}" for r in rows for i, c in enumerate(CLASHING) if c in out.columns and c not in lost), name

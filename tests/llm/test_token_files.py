@@ -43,13 +43,21 @@ def expected(docs):
 
 
 def test_hostile_rows(spark):
-    docs = [(None, "y"), (-5, "minus"), (1, None), (2, ""), (3, "a b c " * 3000), (4, "It's <|endoftext|> naïve №5"), (2**60 + 1, "Ünïcode ΣΑΣ İ é    done!!")]
+    docs = [(None, "y"), (-5, "minus"), (1, None), (2, ""), (3, "a b c " * 3000), (3, "a b c " * 3000), (3, "a b c " * 3000), (4, "It's <|endoftext|> naïve №5"), (2**60 + 1, "Ünïcode ΣΑΣ İ é    done!!")]
     df = spark.createDataFrame(docs[::-1], "doc_id long, text string").selectExpr("*", "1 as start", "2 as path")
     manifest = token_files.write_shards(df.repartition(3), _base.new_folder(spark, "t"), shard_tokens=100)
     assert manifest.count() > 1
     rows = token_files.read_shards(manifest).selectExpr("doc_id", "start", "n_tokens", "crc32(ids)").collect()
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == expected(docs)
     assert token_files.token_digests(df.limit(0), _base.new_folder(spark, "t")).count() == 0
+    # texts that share a doc_id keep their rows, one behind another, in either order
+    texts = ["first text", "another, longer text", "", "first text"]
+    several = spark.createDataFrame([(7, t) for t in texts] + [(6, "before"), (8, "behind")], "doc_id long, text string").repartition(4)
+    rows = sorted(token_files.token_digests(several, _base.new_folder(spark, "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [6, 7, 7, 7, 7, 8]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+    want = sorted((n, crc) for _, _, n, crc in expected([(7, t) for t in texts]))
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in rows[1:5]) == want
 
 
 def test_query(spark):
