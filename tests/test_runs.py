@@ -255,7 +255,8 @@ def test_epub_on_the_command_line(spark, tmp_path):
         os.chdir(here)
 
 
-def test_text_pdfs_on_the_command_line(spark, tmp_path):
+def test_text_pdfs_on_the_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
     words = "\f".join([f"{i}\n" + "plain words of a page that has many of them, more than twenty in all, so that " * 2 + ("FIGURE" if i == 2 else "") for i in range(1, 8)] + ["BROKEN"])
     for kind, text in (("text", words), ("image", "few\fwords")):
         (tmp_path / kind).mkdir()
