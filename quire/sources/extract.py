@@ -56,9 +56,7 @@ class PlainText:
     """Files of text with form feeds between pages."""
 
     method, methods = "plain", ("text",)
-
-    def __init__(self):
-        self.last: tuple[str, list[str]] = ("", [])
+    last: tuple[str, list[str]] = ("", [])
 
     def pages(self, path: str, content: bytes | None) -> int:
         return len(self._split(path, content))

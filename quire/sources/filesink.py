@@ -43,11 +43,13 @@ class FileWriter(DataSourceWriter):
         if "name" not in columns or not {"content", "source"} & set(columns):
             raise ValueError("a file needs a name, and content or a source")
         self.folder, self.job = folder, f".job-{uuid.uuid4().hex}"
+        store, root = place(folder)
+        store.create_dir(f"{root}/{self.job}", recursive=True)  # by the driver alone: a task that goes on behind an abort finds none
 
     def write(self, iterator: Iterator) -> Written:
         store, root = place(self.folder)
         own, n, made = f"{root}/{self.job}/{uuid.uuid4().hex}", 0, set()
-        store.create_dir(own, recursive=True)
+        store.create_dir(own, recursive=False)
         manifest = store.open_output_stream(f"{own}.names", compression=None)
         for row in iterator:
             row = row.asDict()

@@ -46,7 +46,7 @@ def gone(pid):
 def test_a_hung_reader_is_gone_before_the_retry(tmp_path):
     path = put(tmp_path, a__jpg="HANG here")["a__jpg"]
     own = own_reader(functools.partial(extractors.Telling, str(tmp_path)))
-    assert extract.read_page(own, path, 1, timeout=0.5) == ("HANG here", None, True)
+    assert extract.read_page(own, path, 1, timeout=2) == ("HANG here", None, True)
     first, second = [pid for what, pid in told(tmp_path) if what == "made"]
     assert first != second and gone(first) and not gone(second) and own.starts == 2
     assert [w for w, _ in told(tmp_path)] == ["made", "began", "made", "began", "ended"]  # noise doesn't reach the replies
@@ -98,7 +98,7 @@ def test_one_extractor_a_worker_and_none_without_pages(spark, tmp_path):
     done = runs.run(spark, config, rows, make, parts)
     assert (done.total, done.skipped, done.done, done.errors) == (24, 0, 24, 0)
     made = [pid for what, pid in told(tmp_path) if what == "made"]
-    assert 1 <= len(made) <= 4 and len([1 for w, _ in told(tmp_path) if w == "ended"]) == 24
+    assert 1 <= len(made) == len(set(made)) <= 8 and len([1 for w, _ in told(tmp_path) if w == "ended"]) == 24
     again = runs.run(spark, config, rows, make, parts)  # nothing to do: no extractor, no batch, no raw texts
     assert (again.total, again.skipped, again.done) == (24, 24, 0) and again.metrics.count() == 0
     assert [pid for what, pid in told(tmp_path) if what == "made"] == made
