@@ -1,6 +1,6 @@
 """Repeats within a line, found by the places of its parts instead of by a backreference.
 
-What repeats three times starts with the same UNIT characters at three places.  All texts of a batch are hashed together, UNIT characters at a time, and sorted; only lines where
+What repeats three times starts with the same UNIT characters at three places.  All texts of a slice are hashed together, UNIT characters at a time, and sorted; only lines where
 a hash occurs three times are looked at, and there only such places, from left to right, each with the distances to the others of its kind.  Every repeat is compared character by
 character, so the result is that of the lazy pattern (.{15,}?)\\1{2,}, in about the time that sorting takes.
 """
@@ -8,15 +8,13 @@ character, so the result is that of the lazy pattern (.{15,}?)\\1{2,}, in about
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from quire.functions.batches import by_slice
 
 #: Characters of a part at least, and how often it must be there.
 UNIT, TIMES = 15, 3
-#: Characters that are hashed at a time.
-CHARS = 1 << 20
 #: Places of a kind beyond which they are looked through as an array.
 MANY = 64
 
@@ -92,16 +90,12 @@ def collapse(texts: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(StringType())
-def _collapsed(text: pd.Series) -> pd.Series:
-    some = text[text.notna()]
-    sizes = np.cumsum(some.str.len().to_numpy(dtype=np.int64) + 1) if len(some) else np.zeros(0, np.int64)
-    out, a = [], 0
-    while a < len(some):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHARS, side="right")))
-        out += collapse(some.iloc[a:b].tolist())
-        a = b
-    return pd.Series(out, index=some.index, dtype=object).reindex(text.index)
+def _collapse(texts: list[str | None]) -> list[str | None]:
+    found = iter(collapse([t for t in texts if t is not None]))
+    return [None if t is None else next(found) for t in texts]
+
+
+_collapsed = by_slice(_collapse)
 
 
 def collapse_loops(text: Column, only: Column | None = None) -> Column:

@@ -3,10 +3,9 @@
 import tracemalloc
 
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import batches, html
+from quire.functions import batches, html, loops
 
 
 def peak(udf, text, rows=4000):
@@ -35,6 +34,10 @@ def test_converter_holds_a_slice_at_a_time():
     assert peak(html._convert, "<p>" + "some <b>words</b> " * 500 + "</p>") < 8 << 20  # of 18 MB
 
 
+def test_loops_are_looked_for_in_a_slice_at_a_time():
+    assert peak(loops._collapsed, "some words and 15 more; " * 3 + "line\n" * 2000) < 40 << 20  # a search of a million characters takes 80
+
+
 def test_batches_of_many_slices_keep_their_rows(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("<h1>"), F.repeat(F.lit("x"), 400), F.col("id").cast("string"), F.lit("</h1>"))).alias("t"))
     for i, t in df.select("id", html.html_to_markdown(F.col("t"))).collect():
