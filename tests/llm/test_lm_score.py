@@ -249,3 +249,17 @@ def test_short_copies_and_rows_that_repeat(spark):
     # the corpus remembers training rows, so a text whose copy is one
     above = [by[i][0] > single[int(0.95 * len(single))] for i in range(40) if i != 5 and zlib.crc32(str(1000 + i).encode()) % 10]
     assert sum(above) > 0.9 * len(above)
+
+
+def test_row_groups_hold_few_blocks(spark, tmp_path):
+    """However many blocks a task writes: a row group is held in memory, when it is written and when it is read."""
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(map(str, r.integers(0, 10**9, 300)))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    stored = lm_score.store(docs, vocabulary_path(), str(tmp_path / "b"), block_bytes=50_000, group_bytes=300_000)
+    (file,) = (tmp_path / "b").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == stored.count() > 30 and meta.num_row_groups >= 4
+    assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 10
+    assert stored.select(F.sum(F.size("doc_id"))).first()[0] == 600
