@@ -89,9 +89,14 @@ def assemble(page_list: DataFrame, parts: DataFrame, method: str, headers: tuple
     within = "ord, block" if "ord" in parts.columns else "block"
     own = parts.groupBy("doc_id", "page_id").agg(F.expr(f"listagg(block, '') within group (order by {within})").alias("block"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"))
     joined = page_list.groupBy("doc_id", "page_id").agg(F.min("ord").alias("ord")).join(own, ["doc_id", "page_id"])
+    return books_of(joined, method, headers)
+
+
+def books_of(blocks: DataFrame, method: str, headers: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """As assemble(), from a row per page: doc_id, page_id, ord, block, and n and bad, the parts and failed parts in it."""
     head = F.lit(f"{BOOK_TITLE}<!-- Generated with {method} -->\n")
     body = F.expr("listagg(block, '') within group (order by ord, page_id)")
-    books = joined.groupBy("doc_id").agg(F.concat(head, body).alias("markdown"), F.sum("n").alias("n_pages"), F.sum("bad").alias("n_errors"))
+    books = blocks.groupBy("doc_id").agg(F.concat(head, body).alias("markdown"), F.sum("n").alias("n_pages"), F.sum("bad").alias("n_errors"))
     return books.withColumn("markdown", pages.header_detection(F.col("markdown"), list(headers))) if headers else books
 
 

@@ -626,12 +626,13 @@ def stream_books(spark, sf_dir):
     from quire.operators.keep import scratch
     from quire.streaming import assembly
 
-    folder, book = scratch(spark, "books"), Window.partitionBy("doc_id")  # 500 pages at most
+    folder = scratch(spark, "books")
     docs = _table(spark, sf_dir, "documents").withColumn("failed", F.col("doc_id") % 50 == 7)
     page_id = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
     block = F.when(F.col("failed"), pages.error_block(page_id, F.lit("timeout"))).otherwise(pages.page_block(page_id, F.col("text"), F.lit(None).cast("string")))
     rows = docs.select(F.expr("concat(source, '-', cast(doc_id div 500 as string))").alias("doc_id"), page_id.alias("page_id"), F.col("doc_id").alias("ord"), block.alias("block"), F.when(F.col("failed"), "error").otherwise("ok").alias("status"))
-    rows = rows.withColumn("place", F.row_number().over(book.orderBy("ord")) - 1).withColumn("n_pages", F.count(F.lit(1)).over(book))
+    # a book has 500 pages at most, or 999 about 0, whose places follow from their numbers: only these are counted, and blocks go straight to their files
+    rows = rows.withColumn("place", (F.col("ord") % 500 + 499).cast("int")).join(F.broadcast(rows.groupBy("doc_id").agg(F.count_distinct("ord").alias("n_pages"))), "doc_id")
     rows.repartition(4, F.xxhash64("page_id")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     assembly.write_books(stream, "text", f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -70,3 +70,19 @@ def test_windowed_speed(spark, tmp_path):
     ingest.windowed_speed(stream).writeStream.format("memory").queryName("speed_test").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     found = spark.table("speed_test").orderBy("window").collect()
     assert [(r["pages"], r["avg_time"]) for r in found] == [(2, 15.5), (2, 16.5), (2, 17.5)]
+
+
+def test_blocks_are_shuffled_three_times(spark):
+    """To their files, to the state of their document, and to their book: it was eight times."""
+    from quire import queries
+
+    def shuffled():
+        status = spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    assert queries.stream_books(spark, "/root/testdata/sf0.01").count() > 0
+    many = [n for k, n in shuffled().items() if k not in before]
+    assert sum(many) < 4.5 * max(many)
