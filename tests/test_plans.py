@@ -46,3 +46,12 @@ def test_totals_come_from_the_same_pass(spark):
     text = plan(QUERIES["stats_by_document"](spark, SF))
     assert text.count("Scan parquet") <= 2 and len(re.findall(r"\) Expand", text)) >= 1 and "Union" not in text
     assert len(re.findall(r"\(\d+\) Scan parquet", text)) == 1
+
+
+@pytest.mark.parametrize("name", ["collapse_loops", "html_to_markdown", "page_pipeline_markdown"])
+def test_python_takes_slices(spark, name):
+    """Every Python step of texts is an iterator over Arrow batches, which sends slices on as they are done."""
+    from pyspark.util import PythonEvalType
+
+    kinds = re.findall(r"\(\d+\) ArrowEvalPython.*?Arguments: .*?\], (\d+)", plan(QUERIES[name](spark, SF)), re.S)
+    assert kinds and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
