@@ -263,3 +263,15 @@ def test_row_groups_hold_few_blocks(spark, tmp_path):
     assert meta.num_rows == stored.count() > 30 and meta.num_row_groups >= 4
     assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 10
     assert stored.select(F.sum(F.size("doc_id"))).first()[0] == 600
+
+
+def test_attention_is_fitted_on_every_window(spark):
+    """Short texts of their own words: by default, whatever stands in any of them has had its vectors fitted."""
+    texts = [f"{chr(97 + i % 26) * 3}{i * 7919} {i * 104729}" for i in range(60) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("doc_id", F.lit(1)).repartition(3)  # 1 is a training row
+    stored = lm_score.store(docs, vocabulary_path(), _base.new_folder(spark, "t"))
+    by_id = lm_score.id_counts(stored, encoder(vocabulary_path()).library.get_vocab_size())[1]
+    model = lm_score.fit(stored, vocabulary_path(), by_id)
+    fresh = Attention(model.input_of, model.leaf_of, model.start)
+    before = np.unique(np.concatenate([model.input_of[t[:-1]] for t in encoded(texts)]))
+    assert len(before) > 20 and (model.value[before] != fresh.value[before]).any(axis=1).all()
