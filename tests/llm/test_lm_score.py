@@ -275,3 +275,44 @@ def test_attention_is_fitted_on_every_window(spark):
     fresh = Attention(model.input_of, model.leaf_of, model.start)
     before = np.unique(np.concatenate([model.input_of[t[:-1]] for t in encoded(texts)]))
     assert len(before) > 20 and (model.value[before] != fresh.value[before]).any(axis=1).all()
+
+
+def test_windows_travel_as_their_ids():
+    """Places, leaves and counted positions of windows that were packed, window by window as the definition says."""
+    m, r = toy(), np.random.default_rng(12)
+    lengths = np.array([1, 2, STRIDE, WINDOW - 1, WINDOW, WINDOW + 1, WINDOW + STRIDE, WINDOW + STRIDE + 1, 4000])
+    ids = r.integers(0, 50, lengths.sum()).astype("<u2")
+    want = []
+    for t in np.split(ids, np.cumsum(lengths)[:-1]):
+        for b in range(0, max(1, len(t) - WINDOW + STRIDE), STRIDE):
+            at = [min(b + i, len(t) - 1) for i in range(WINDOW)]
+            want.append(([m.input_of[t[i - 1]] if i else m.start for i in at], m.leaf_of[t[at]].tolist(), [b + i < len(t) and (not b or i >= WINDOW - STRIDE) for i in range(WINDOW)]))
+    some = r.permutation(len(want))
+    cuts = [0, 3, 4, len(want)]
+    rows = list(lm_score.packed(*_attention.window_ids(ids, lengths, some), cuts))
+    assert rows[1][0] == 0 < rows[2][0] and len(rows[2][1]) < 100 * (len(want) - 4)
+    each = [lm_score.unpacked(data, size, b - a) for (size, data), a, b in zip(rows, cuts, cuts[1:], strict=False)]
+    for got in (m.positions_of(*(np.concatenate(v) for v in zip(*each, strict=True))), [v[some] for v in m.positions(ids, lengths)]):
+        assert [tuple(row.tolist() for row in rows) for rows in zip(*got, strict=True)] == [tuple(map(list, want[i])) for i in some]
+
+
+def test_fit_ships_windows_small_and_a_sum_of_each_task(spark):
+    """Bytes that the fit shuffles, by window and by table of the model: shards that meet in a task are summed there."""
+    r = np.random.default_rng(13)
+    known = sorted(b.decode() for b in {bytes(r.integers(97, 123, r.integers(2, 7)).astype("u1")) for _ in range(300)})
+    docs = spark.createDataFrame([(1, " ".join(r.choice(known, 2000))) for _ in range(20)], "doc_id long, text string").coalesce(1)  # 1 is a training row
+    stored = lm_score.store(docs, vocabulary_path(), _base.new_folder(spark, "t"))
+    by_id = lm_score.id_counts(stored, encoder(vocabulary_path()).library.get_vocab_size())[1]
+    windows, java = lm_score.window_count(stored), spark.sparkContext._jvm.java.util
+
+    def moved():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(java.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), java.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def fitted(shard_windows):
+        before = moved()
+        lm_score.fit(stored, vocabulary_path(), by_id, shard_windows=shard_windows)
+        return moved() - before
+
+    few, many = fitted(windows), fitted(20)
+    assert windows > 1000 and few < many < 3_000_000  # 22 MB when each shard's tables went to be summed
