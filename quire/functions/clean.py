@@ -49,7 +49,7 @@ def collapse_blank_lines(text: Column) -> Column:
     return _where(text, "\n\n\n", BLANK_LINES)
 
 
-def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: bool = True, hyphens: bool = True, blank_lines: bool = True) -> Column:
+def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: bool = True, hyphens: bool = True, blank_lines: bool = True, spare: bool = False) -> Column:
     """All rules that are on, in order; loops only where no_layout holds and hyphens are on."""
     if page_numbers:
         text = remove_page_numbers(text)
@@ -58,7 +58,7 @@ def clean_page(text: Column, no_layout: Column | bool = False, page_numbers: boo
         if no_layout is True:
             text = collapse_loops(text)
         elif isinstance(no_layout, Column):
-            text = collapse_loops(text, no_layout)
+            text = collapse_loops(text, no_layout, spare)
         text = join_paragraphs(rejoin_inline_hyphens(text))
     if blank_lines:
         text = collapse_blank_lines(text)

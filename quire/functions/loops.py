@@ -98,8 +98,12 @@ def _collapse(texts: list[str | None]) -> list[str | None]:
 _collapsed = by_slice(_collapse)
 
 
-def collapse_loops(text: Column, only: Column | None = None) -> Column:
-    """Leaves one of three or more repeats of a part of 15 characters or more, within a line; where `only` doesn't hold, the text stays as it is, and isn't sent anywhere."""
+def collapse_loops(text: Column, only: Column | None = None, spare: bool = False) -> Column:
+    """Leaves one of three or more repeats of a part of 15 characters or more, within a line; where `only` doesn't hold, the text stays as it is, and isn't sent anywhere.
+
+    spare: where Spark knows that `only` never holds, there is no Python step, nor a worker for it in each core.
+    """
     long = F.length(text) >= UNIT * TIMES
     asked = long if only is None else long & only
-    return F.coalesce(_collapsed(F.when(asked, text)), text)
+    found = _collapsed(F.when(asked, text))
+    return F.when(asked, found).otherwise(text) if spare else F.coalesce(found, text)

@@ -27,8 +27,8 @@ def figures_from_book(config: Config) -> str:
     return os.path.relpath(config.figures_dir, os.path.dirname(config.output_file) or ".").replace(os.sep, "/")
 
 
-def _clean(text: Column, config: Config, no_layout: Column | bool = False) -> Column:
-    return clean.clean_page(text, no_layout, config.remove_isolated_page_numbers, config.rejoin_hyphenated_words, config.collapse_blank_lines)
+def _clean(text: Column, config: Config, no_layout: Column | bool = False, spare: bool = False) -> Column:
+    return clean.clean_page(text, no_layout, config.remove_isolated_page_numbers, config.rejoin_hyphenated_words, config.collapse_blank_lines, spare)
 
 
 def _formulas(text: Column) -> Column:
@@ -43,9 +43,10 @@ def page_parts(raw: DataFrame, config: Config) -> DataFrame:
     """
     step = raw.withColumn("_n", pages.page_number(F.coalesce("raw_text", F.lit(""))))
     step = step.select("*", F.col("_n.label").alias("page_label"), F.col("_n.text").alias("_t")).drop("_n")
-    text = F.col("_t")
+    text, no_layout = F.col("_t"), F.coalesce(F.col("no_layout"), F.lit(False))
+    spare = not config.keep_html  # the converter has a worker in each core already
     if config.postprocess:
-        step = step.withColumn("_t", _clean(text, config, F.coalesce(F.col("no_layout"), F.lit(False))))
+        step = step.withColumn("_t", _clean(text, config, no_layout, spare))
     step = step.withColumn("_t", markup.strip_table_styles(text))
     if config.postprocess:
         step = step.withColumn("_t", _formulas(text))
@@ -56,7 +57,7 @@ def page_parts(raw: DataFrame, config: Config) -> DataFrame:
     if not config.keep_html:
         step = step.withColumn("_t", html.html_to_markdown(text))
         if config.postprocess:
-            step = step.withColumn("_t", _formulas(_clean(text, config, F.coalesce(F.col("no_layout"), F.lit(False)))))
+            step = step.withColumn("_t", _formulas(_clean(text, config, no_layout, spare)))
     return _parts(step, F.col("_t"))
 
 

@@ -42,3 +42,21 @@ def test_batches_of_many_slices_keep_their_rows(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("<h1>"), F.repeat(F.lit("x"), 400), F.col("id").cast("string"), F.lit("</h1>"))).alias("t"))
     for i, t in df.select("id", html.html_to_markdown(F.col("t"))).collect():
         assert t == (f"# {'x' * 400}{i}" if i % 7 else None)
+
+
+def test_no_worker_where_no_page_is_read_without_layout(spark):
+    """A Python step holds a worker in each core, rows or not: loops have one only where a page may be asked for."""
+    from quire.config import Config
+    from quire.operators.pages import page_parts
+
+    line = "a part of a line " * 4
+    raw = spark.range(4).selectExpr("cast(id as string) doc_id", "concat('p', id) page_id", "id ord", f"concat('{line}', id) raw_text", "cast(null as string) error", "id % 2 = 0 or id = 9 as some")
+
+    def found(no_layout):
+        df = page_parts(raw.withColumn("no_layout", no_layout).drop("some"), Config(keep_html=False))
+        steps = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return steps, [r["clean_text"].count("part") for r in df.orderBy("ord").collect()]
+
+    assert found(F.lit(False)) == (1, [4] * 4)  # the converter's
+    assert found(F.col("some")) == (3, [1, 4, 1, 4])
+    assert found(F.when(F.col("some"), True)) == (3, [1, 4, 1, 4])
