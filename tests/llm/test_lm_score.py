@@ -316,3 +316,81 @@ def test_fit_ships_windows_small_and_a_sum_of_each_task(spark):
 
     few, many = fitted(windows), fitted(20)
     assert windows > 1000 and few < many < 3_000_000  # 22 MB when each shard's tables went to be summed
+
+
+def plain_fit(m, x_all, y_all, counted, batch, rate=0.01):
+    """One round as the definition says, position by position, in 64 bits; returns the tables by name."""
+    tables = {n: getattr(m, n).astype(float) for n in m.NAMES}
+    first, second = ({n: np.zeros_like(t) for n, t in tables.items()} for _ in range(2))
+    to_group, to_slot = m.to_group.astype(float), m.to_slot.astype(float)
+    each, r = -(-len(x_all) // batch), np.random.default_rng(3)
+    for step, some in enumerate(np.array_split(r.permutation(len(x_all)), each), 1):
+        own, query, key, value, bias = (tables[n] for n in m.NAMES)
+        g, met = {n: np.zeros_like(t) for n, t in tables.items()}, np.unique(x_all[some])
+        for w in some:
+            x = x_all[w]
+            for t in np.flatnonzero(counted[w]):
+                past = x[: t + 1]
+                z = key[past] @ query[x[t]] + bias[t - np.arange(t + 1)]
+                a = np.exp(z - z.max())
+                a /= a.sum()
+                mixed, (group, slot) = a @ value[past], divmod(int(y_all[w, t]), _attention.SLOTS)
+                h, dh = own[x[t]] + mixed, 0
+                for to, offset, at in ((to_group, m.group_offset, group), (to_slot[group], m.slot_offset[group], slot)):
+                    p = h @ to + offset
+                    p = np.exp(p - p.max())
+                    p /= p.sum()
+                    p[at] -= 1
+                    dh = dh + to @ p
+                dh = dh / counted[some].sum()
+                dz = a * (value[past] @ dh - mixed @ dh)
+                g["own"][x[t]] += dh
+                g["query"][x[t]] += dz @ key[past]
+                np.add.at(g["value"], past, a[:, None] * dh)
+                np.add.at(g["key"], past, dz[:, None] * query[x[t]])
+                np.add.at(g["bias"], t - np.arange(t + 1), dz)
+        for n, t in tables.items():
+            at = met if n != "bias" else np.arange(WINDOW)
+            first[n][at] = 0.9 * first[n][at] + 0.1 * g[n][at]
+            second[n][at] = 0.99 * second[n][at] + 0.01 * g[n][at] ** 2
+            t[at] -= rate * min(1.0, 4 * (1 - step / (each + 1))) * (first[n][at] / (1 - 0.9**step)) / (np.sqrt(second[n][at] / (1 - 0.99**step)) + 1e-8)
+    return tables
+
+
+@pytest.mark.parametrize("shift", [0, 100])
+def test_fit_equals_a_plain_one(shift):
+    """Whole windows and later ones, texts of one id, ids that are there a hundred times; numbers that exp can't take as they are."""
+    m, r = toy(), np.random.default_rng(14)
+    m.bias += shift  # no part in what is right
+    m.group_offset += shift
+    m.slot_offset -= shift
+    lengths = np.array([1, 3, WINDOW, WINDOW + 1, 3 * WINDOW, 2 * STRIDE])
+    ids = np.minimum(r.integers(0, 50, lengths.sum()), r.integers(0, 50, lengths.sum()))
+    x, y, counted = m.positions(ids, lengths)
+    want = plain_fit(m, x, y, counted, 4)
+    met = m.fit(x, y, counted, rounds=1, batch=4)
+    assert met.tolist() == np.bincount(x.ravel(), minlength=len(m.own)).tolist()
+    for name in m.NAMES:
+        got = getattr(m, name)
+        off = np.abs(got - want[name]) > 1e-4 + 1e-3 * np.abs(want[name])
+        assert off.mean() < 0.01, name  # where a gradient is next to nothing, 32 bits may give it the other sign
+
+
+def test_rows_that_no_position_needs_are_not_computed(monkeypatch):
+    """exp is taken of what the positions that count look at: rows of attention from the first of them on, a row of groups and of slots."""
+    m, taken = toy(), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, z, **how):
+            taken.append(z.size)
+            return np.exp(z, **how)
+
+    x, y, counted = m.positions(np.arange(8 + STRIDE * 33) % 50, np.array([8 + STRIDE * 33]))
+    monkeypatch.setattr(_attention, "np", Counting())
+    m.fit(x, y, counted, rounds=1)
+    windows = len(x)
+    assert windows == 33 and counted.sum() == 8 + STRIDE * windows
+    assert sum(taken) == WINDOW * (8 + STRIDE * windows) + (_attention.GROUPS + _attention.SLOTS) * (8 + STRIDE * windows)
